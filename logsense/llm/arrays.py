@@ -1,0 +1,39 @@
+"""Texts of Arrow batches as flat byte arrays, cut into pieces of bounded size."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text handled at once; a longer text makes a piece of its own.
+PIECE = 1 << 20
+
+
+def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and len + 1 offsets into them; a null is an empty text."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts, "" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, offsets, data = texts.buffers()
+    if len(texts) == 0 or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def pieces(at: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most `most` bytes each, or one text."""
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
+def binaries(values: list[bytes]) -> pa.Array:
+    """Values as an Arrow binary column."""
+    return pa.array(values, pa.binary())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logsense.llm import chat, mixing, quality
+from logsense.llm import bpe, chat, html_text, language, mixing, quality, token_counts, topk
 from logsense.llm.sql import ORACLES
 from logsense.session import checkpoint, table
 
@@ -17,6 +18,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(sizes, weights=(5, 2, 1), share=1.5, most=2)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -25,10 +31,32 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(more)))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     x = quality.quality(table(spark, sf_dir, "documents"))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_chat_format, op7_quality_rules)}
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products for every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, offsets=False), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op4_chat_format, op6_token_counts, op7_quality_rules, op8_exact_topk, op9_language_id, op10_byte_bpe)}
