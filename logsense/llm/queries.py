@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logsense.llm import bpe, chat, html_text, language, mixing, quality, token_counts, topk
+from logsense.llm import bpe, chat, html_text, language, mixing, quality, substrings, token_counts, topk
 from logsense.llm.sql import ORACLES
 from logsense.session import checkpoint, table
 
@@ -23,6 +23,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that 50-byte strings of smaller ids don't cover."""
+    return substrings.repeat_digests(table(spark, sf_dir, "documents"), length=50)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -59,4 +64,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, offsets=False), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op4_chat_format, op6_token_counts, op7_quality_rules, op8_exact_topk, op9_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_chat_format, op6_token_counts, op7_quality_rules, op8_exact_topk, op9_language_id, op10_byte_bpe)}
