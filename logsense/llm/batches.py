@@ -21,6 +21,8 @@ from logsense.session import checkpoint, ship
 
 #: Bytes of text in a batch, about, and for each bucket.
 BATCH, BUCKET = 4 << 20, 4 << 20
+#: Rows in a batch at most; a row's number is its batch's shifted by ROW_BITS, and its place.
+ROW_BITS = 16
 NO_ID = np.iinfo(np.int64).max
 BATCH_SCHEMA = "batch long, n_bytes long, ids binary, offsets binary, body binary, n_body long, rest binary"
 
@@ -60,19 +62,19 @@ def pack(docs: DataFrame, body: str = "text") -> DataFrame:
             sink, rest = pa.BufferOutputStream(), b.select(["__rest"])
             with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(rest)
-            values = [TaskContext.get().partitionId() << 32 | k, len(data), ids.astype("<i8").tobytes(), at.astype("<i8").tobytes(), squeeze(data), len(data), sink.getvalue().to_pybytes()]
+            values = [TaskContext.get().partitionId() << 20 | k, len(data), ids.astype("<i8").tobytes(), at.astype("<i8").tobytes(), squeeze(data), len(data), sink.getvalue().to_pybytes()]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["batch", "n_bytes", "ids", "offsets", "body", "n_body", "rest"])
 
-        size = 0
+        size = n_rows = 0
         for b in batches:
             b = b.set_column(b.schema.get_field_index("__body"), "__body", b.column("__body").cast(pa.large_string()))
             at = flat(b.column("__body"))[1]
-            for i, j in pieces(at, BATCH):
-                if held and size + at[j] - at[i] > BATCH:
+            for i, j in ((i, min(i + 1000, j)) for a, j in pieces(at, BATCH) for i in range(a, j, 1000)):
+                if held and (size + at[j] - at[i] > BATCH or n_rows + j - i > 1 << ROW_BITS):
                     yield row(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                    k, held, size = k + 1, [], 0
+                    k, held, size, n_rows = k + 1, [], 0, 0
                 held.append(_plain(b.slice(i, j - i)))
-                size += at[j] - at[i]
+                size, n_rows = size + at[j] - at[i], n_rows + j - i
         if held:
             yield row(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logsense.llm import bpe, chat, html_text, language, mixing, quality, substrings, token_counts, topk
+from logsense.llm import bpe, chat, html_text, language, mixing, quality, similar_sets, substrings, token_counts, topk
 from logsense.llm.sql import ORACLES
 from logsense.session import checkpoint, table
 
@@ -36,6 +36,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(more)))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents whose sets of four words overlap by 85 % or more."""
+    return similar_sets.link_groups(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
@@ -64,4 +69,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, offsets=False), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_chat_format, op6_token_counts, op7_quality_rules, op8_exact_topk, op9_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_html_extraction, op3_substring_dedup, op4_chat_format, op5_ngram_join, op6_token_counts, op7_quality_rules, op8_exact_topk, op9_language_id, op10_byte_bpe)}

@@ -145,7 +145,9 @@ NO_BOUND = np.iinfo(np.int64).max
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Ranges of equal values in sorted buckets."""
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    if not len(bucket):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for i, j in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
         yield int(bucket[i]), int(i), int(j)
 
@@ -207,7 +209,7 @@ def _anchor_rows(batches: DataFrame, length: int, buckets: int) -> DataFrame:
                 rows = [(k, keys[i:j].astype("<u4").tobytes(), np.packbits(several[i:j]).tobytes()) for k, i, j in by_bucket((keys >> np.uint64(32)).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(rows), pa.int64()), pa.array([x[0] for x in rows], pa.int32()), binaries([x[1] for x in rows]), binaries([x[2] for x in rows])], ["batch", "bucket", "keys", "several"])
 
-    return batches.drop("rest").withColumn("rest", F.lit(_NO_REST)).mapInArrow(run, "batch long, bucket int, keys binary, several binary")
+    return no_rest(batches).mapInArrow(run, "batch long, bucket int, keys binary, several binary")
 
 
 def _empty_message() -> bytes:
@@ -221,6 +223,11 @@ def _empty_message() -> bytes:
 _NO_REST = _empty_message()
 
 
+def no_rest(batches: DataFrame) -> DataFrame:
+    """Batches without their other columns."""
+    return batches.withColumn("rest", F.lit(_NO_REST))
+
+
 def _repeated_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     """Bits of each batch's keys that occur in another batch, or under several ids."""
     parts = [np.frombuffer(x, "<u4") for x in pdf["keys"]]
@@ -252,7 +259,7 @@ def _span_rows(batches: DataFrame, length: int, buckets: int) -> DataFrame:
                     rows.append((k, s.keys[own].astype("<u4").tobytes(), (s.n_windows[own]).astype(np.uint8).tobytes(), squeeze(e["ids"][i:j].astype("<i8")), len(text), squeeze(text)))
                 yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(rows), pa.int64()), pa.array([x[0] for x in rows], pa.int32()), binaries([x[1] for x in rows]), binaries([x[2] for x in rows]), binaries([x[3] for x in rows]), pa.array([x[4] for x in rows], pa.int64()), binaries([x[5] for x in rows])], ["batch", "bucket", "keys", "windows", "ids", "n_text", "text"])
 
-    return batches.withColumn("rest", F.lit(_NO_REST)).mapInArrow(run, "batch long, bucket int, keys binary, windows binary, ids binary, n_text long, text binary")
+    return no_rest(batches).mapInArrow(run, "batch long, bucket int, keys binary, windows binary, ids binary, n_text long, text binary")
 
 
 def _remove(batches: DataFrame, length: int, buckets: int, schema: str) -> DataFrame:
