@@ -79,7 +79,21 @@ def pack(docs: DataFrame, body: str = "text") -> DataFrame:
             yield row(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col(f"`{body}`").cast("string").alias("__body"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("__rest"))
-    return checkpoint(rows.mapInArrow(run, BATCH_SCHEMA))
+    return placed(rows.mapInArrow(run, BATCH_SCHEMA), "batch")
+
+
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """df in the checkpoint folder, dealt by a key so that later joins on it don't move it again.
+
+    A checkpoint knows its partitioning only if it was planned without adaptive execution.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpoint(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def _plain(b: pa.RecordBatch) -> pa.RecordBatch:
