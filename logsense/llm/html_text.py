@@ -38,6 +38,7 @@ ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'
 CONTAINERS = frozenset("div section aside nav header footer ul ol dl table form fieldset details figure blockquote address menu dialog center".split())
 BLOCKS = CONTAINERS | frozenset("html head body main article p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot pre hr figcaption summary option select button label".split())
 DROPPED = frozenset("head nav footer aside form button select menu dialog audio video label fieldset".split())
+OWN = frozenset("blockquote table figure dl details address center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 html body main".split())
 # Words in class, id and role that mark what isn't the article.
@@ -99,7 +100,7 @@ class Page:
             if open_ and self.elements[open_[-1]][0] in CLOSES.get(tag, ()):
                 close(len(open_) - 1, m.start())
             inside = any(self.elements[k][0] == self.main for k in open_)
-            if tag == self.main:
+            if tag == self.main and not inside:
                 for k in open_:
                     self.elements[k][5] = True
             open_.append(len(self.elements))
@@ -107,10 +108,11 @@ class Page:
         close(0, len(html))
 
     def subtrees(self) -> dict[int, int]:
-        """Hash of each container's subtree that holds no article, by the element's number."""
+        """Hash of each subtree that may be a template, by the element's number."""
         out = {}
-        for k, (tag, start, end, _, _, holds) in enumerate(self.elements):
-            if tag in CONTAINERS and not holds:
+        for k, (tag, start, end, _, inside, holds) in enumerate(self.elements):
+            # an article's quotes and tables are its own, and what makes up most of a page is no template
+            if tag in CONTAINERS and not holds and not (inside and tag in OWN) and 2 * (end - start) <= len(self.html):
                 raw = " ".join(self.html[start:end].split())
                 out[k] = int.from_bytes(blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
         return out
