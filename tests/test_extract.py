@@ -25,7 +25,7 @@ def fused(text):
 def by_priority(text):
     kept = []
     for name, p in BY_PRIORITY:
-        for m in re.finditer(p, text or "", re.A):
+        for m in re.finditer(p.replace(r"\d", "[0-9]"), text or ""):  # word boundaries know all letters
             if not any(a < m.end() and m.start() < b for a, b, _, _ in kept):
                 kept.append((m.start(), m.end(), name, m[0]))
     return sorted(kept)
@@ -50,7 +50,7 @@ def test_texts(spark):
     check(spark, TEXTS)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from(["2024-01-02", "T", " ", "10:11:12", ".5", "ERROR", "1.2.3.4", "a@b.co", "/x/y", "0x1f", "{", "}", "é", "\r", "http://q", "-", "7"]), max_size=12).map("".join), min_size=5, max_size=30))
 def test_random(spark, texts):
     check(spark, texts)
