@@ -38,7 +38,8 @@ from logsense.session import checkpoint
 FREQUENT = 200_000
 #: Sets in a batch that share a gram before it is reported as frequent.
 OFTEN = 4
-BITS = 512
+#: Bits of the smallest bitmap, as a binary logarithm.
+LEAST_LEVEL = 9
 #: Grams of all sets compared in one group.
 GROUP = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -118,14 +119,53 @@ class Prefixes:
         return keys, place, n > 1
 
 
+def levels(n: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the bits in a set's bitmap: no fewer than its grams."""
+    return np.maximum(LEAST_LEVEL, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64)
+
+
 def bitmaps(grams: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the documents' sets as words of 64 bits."""
+    """Parity bitmaps of the documents' sets, one after another, as bytes."""
     n = at[docs + 1] - at[docs]
+    bits = 1 << levels(n)
     owner = np.repeat(np.arange(len(docs)), n)
     where = np.repeat(at[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    bit = (grams[where] % np.uint64(BITS)).astype(np.int64)
-    odd = np.bincount(owner * BITS + bit, minlength=len(docs) * BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(docs), BITS), axis=1).view(np.uint64)
+    bit = (grams[where] & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount((np.cumsum(bits) - bits)[owner] + bit, minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+class Maps:
+    """Bitmaps by level, each also folded to the level below, so that near sizes can be compared."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, docs: np.ndarray):
+        size = (1 << levels(n)) >> 6
+        first = (np.cumsum(size) - size)[docs]
+        self.level = levels(n[docs])
+        self.table, self.place = {}, {}
+        for level in np.unique(self.level)[::-1].tolist():
+            own = np.flatnonzero(self.level == level)
+            rows = words[first[own][:, None] + np.arange(1 << level >> 6)]
+            self._add(level, own, rows)
+            if level > LEAST_LEVEL:
+                self._add(level - 1, own, rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :])
+
+    def _add(self, level: int, docs: np.ndarray, rows: np.ndarray) -> None:
+        place = self.place.setdefault(level, np.full(len(self.level), -1))
+        old = self.table.get(level)
+        place[docs] = np.arange(len(docs)) + (0 if old is None else len(old))
+        self.table[level] = rows if old is None else np.concatenate([old, rows])
+
+    def unlike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps of sets x and y differ; 0 where their sizes are too far apart."""
+        out = np.zeros(len(x), np.int64)
+        low, high = np.minimum(self.level[x], self.level[y]), np.maximum(self.level[x], self.level[y])
+        for level in np.unique(low).tolist():
+            own = np.flatnonzero((low == level) & (high <= level + 1))
+            for k in range(0, len(own), 4096):
+                part, place = own[k : k + 4096], self.place[level]
+                out[part] = np.bitwise_count(self.table[level][place[x[part]]] ^ self.table[level][place[y[part]]]).sum(-1)
+        return out
 
 
 class Union:
@@ -153,7 +193,7 @@ class Union:
             self.up = up
 
 
-def candidate_links(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, maps: np.ndarray, rule: Rule) -> np.ndarray:
+def candidate_links(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, maps: Maps, rule: Rule) -> np.ndarray:
     """Root of each set under the links that size, position and bitmap leave possible in the lists of a bucket."""
     order = np.lexsort((place, n[doc], keys))
     keys, doc, place = keys[order], doc[order], place[order]
@@ -163,7 +203,7 @@ def candidate_links(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.
         """Whether entries x and y may link."""
         a, b = size[x], size[y]
         most = 1 + np.minimum(a - place[x], b - place[y]) - 1
-        unlike = np.bitwise_count(maps[doc[x]] ^ maps[doc[y]]).sum(-1).astype(np.int64)
+        unlike = maps.unlike(doc[x], doc[y])
         most = np.minimum(np.minimum(most, np.minimum(a, b)), (a + b - unlike) // 2)
         return rule.links(most, a, b)
 
@@ -299,26 +339,30 @@ def _per_batch(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.groupBy(F.shiftright("row", ROW_BITS).alias("batch")).agg(F.array_sort(F.collect_list(at)).alias("chosen"))
 
 
-def _postings(flags: np.ndarray, p: Prefixes, first_row: int) -> list[tuple]:
-    """One row for each bucket: its repeated grams with place and set, and the sets' rows, sizes and bitmaps."""
+def _postings(flags: np.ndarray, p: Prefixes, first_row: int, wide: int) -> list[tuple]:
+    """One row for each wide bucket: its repeated grams with place and set, and the sets' rows, sizes and bitmaps."""
     at = np.flatnonzero(flags)
-    at = at[np.argsort(p.keys[at], kind="stable")]
+    group = (p.keys[at] >> np.uint64(32)).astype(np.int64) % wide
+    order = np.argsort(group, kind="stable")
+    at, group = at[order], group[order]
     out = []
-    for k, i, j in by_bucket((p.keys[at] >> np.uint64(32)).astype(np.int64)):
+    for k, i, j in by_bucket(group):
         own = at[i:j]
         docs, doc = np.unique(p.doc[own], return_inverse=True)
-        parts = [p.keys[own].astype("<u4"), doc.astype("<u4"), p.place[own].astype("<u4"), (first_row + docs).astype("<i8"), p.n[docs].astype("<i8"), bitmaps(p.grams, p.at, docs)]
-        out.append((k, len(own), len(docs), squeeze(b"".join(x.tobytes() for x in parts))))
+        parts = [p.keys[own].astype("<u8"), doc.astype("<u4"), p.place[own].astype("<u4"), (first_row + docs).astype("<i8"), p.n[docs].astype("<i8"), bitmaps(p.grams, p.at, docs)]
+        raw = b"".join(x.tobytes() for x in parts)
+        out.append((k, len(own), len(docs), len(raw), squeeze(raw)))
     return out
 
 
 def _read_postings(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Keys, sets and places of all entries, and rows, sizes and bitmaps of all sets."""
     parts, base = [], 0
-    for n, m, x in zip(pdf["n_grams"], pdf["n_sets"], pdf["body"], strict=True):
-        raw = expand(x, 12 * n + m * (16 + BITS // 8))
-        a, b = 12 * n, 12 * n + 16 * m
-        three, two = raw[:a].view(np.uint32).reshape(3, n), np.frombuffer(raw[a:b].tobytes(), "<i8").reshape(2, m)
-        parts.append((three[0], three[1].astype(np.int64) + base, three[2].astype(np.int64), two[0], two[1], np.frombuffer(raw[b:].tobytes(), np.uint64).reshape(m, BITS // 64)))
+    for g, m, size, x in zip(pdf["n_grams"], pdf["n_sets"], pdf["n_body"], pdf["body"], strict=True):
+        raw = expand(x, size).tobytes()
+        cut = np.cumsum([0, 8 * g, 4 * g, 4 * g, 8 * m, 8 * m])
+        view = lambda k, kind: np.frombuffer(raw[cut[k] : cut[k + 1]], kind)  # noqa: B023, E731
+        parts.append((view(0, "<u8"), view(1, "<u4").astype(np.int64) + base, view(2, "<u4").astype(np.int64), view(3, "<i8"), view(4, "<i8"), np.frombuffer(raw[cut[5] :], np.uint64)))
         base += m
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -337,9 +381,11 @@ def _sets_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.cumsum([0, *map(len, sets)])
 
 
-def _verified(sets: DataFrame, weights: DataFrame, total: int, rule: Rule, group: int) -> DataFrame:
-    """Exact links (u, v) as stars inside each candidate component: sets (comp, row, n, grams)."""
-    sets = sets.join(weights, "comp")
+def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: int) -> DataFrame:
+    """Exact links (u, v) as stars inside each candidate component, of sets (comp, weight, row, n, grams).
+
+    small: of components of up to `group` grams; big: of the others.
+    """
     parts = int(max(8, total // group))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -350,11 +396,10 @@ def _verified(sets: DataFrame, weights: DataFrame, total: int, rule: Rule, group
             out.append(_star(own["row"].to_numpy(), exact_links(grams, at, rule)))
         return pd.concat(out)
 
-    small = sets.where(F.col("weight") <= group).withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(parts)).cast("int")).select("part", "comp", "row", "grams")
+    small = small.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(parts)).cast("int")).select("part", "comp", "row", "grams")
     links = small.groupBy("part").applyInPandas(within, "u long, v long")
 
     # Components beyond one group: all against the component's first set, then the rest as queries in blocks.
-    big = sets.where(F.col("weight") > group)
     first = big.where(F.col("row") == F.col("comp")).select("comp", F.col("grams").alias("lead"))
 
     def against_first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -420,6 +465,7 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
 
     classes = checkpoint(info.where("n > 0").groupBy("n", "a", "c").agg(F.min("row").alias("first")))
     buckets = bucket_count(batches, 8 << 20)
+    wide = max(8, buckets // 4)
     of_classes = _per_batch(classes.select(F.col("first").alias("row")))
 
     def prefixes(r: dict, b: Batch) -> Prefixes:
@@ -437,30 +483,31 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
         p = prefixes(r, b)
         k, place, _ = p.distinct()
         bits = [np.unpackbits(np.frombuffer(x["reply"], np.uint8), count=j - i) for x, (_, i, j) in zip(r["replies"], by_bucket((k >> np.uint64(32)).astype(np.int64)), strict=True)]
-        return _postings(np.concatenate(bits)[place] > 0, p, r["batch"] << ROW_BITS) if bits else []
+        return _postings(np.concatenate(bits)[place] > 0, p, r["batch"] << ROW_BITS, wide) if bits else []
 
-    lists = _each(batches.join(of_classes.join(repeated, "batch"), "batch"), postings, "bucket int, n_grams long, n_sets long, body binary")
-    wide = max(8, buckets // 4)
+    lists = _each(batches.join(of_classes.join(repeated, "batch"), "batch"), postings, "wide int, n_grams long, n_sets long, n_body long, body binary")
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, doc, place, row, n, maps = _read_postings(pdf)
-        bucket = np.repeat(pdf["bucket"].to_numpy(np.int64), pdf["n_grams"])
+        key, doc, place, row, n, words_ = _read_postings(pdf)
         rows, at = np.unique(row, return_index=True)
-        return _star(rows, candidate_links(bucket.astype(np.uint64) << np.uint64(32) | key, np.searchsorted(rows, row[doc]), place, n[at], maps[at], rule))
+        return _star(rows, candidate_links(key, np.searchsorted(rows, row[doc]), place, n[at], Maps(words_, n, at), rule))
 
-    edges = lists.withColumn("wide", F.col("bucket") % wide).groupBy("wide").applyInPandas(candidates, "u long, v long")
+    edges = lists.groupBy("wide").applyInPandas(candidates, "u long, v long")
     found = components(edges)
     members = checkpoint(found.select(F.col("node").alias("row"), F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("row"), F.col("root").alias("comp")).distinct()))
-    sizes = members.join(classes.select(F.col("first").alias("row"), "n"), "row")
-    weights = checkpoint(sizes.groupBy("comp").agg(F.sum("n").alias("weight")))
-    total = weights.agg(F.sum("weight")).first()[0] or 0
+    weights = members.join(classes.select(F.col("first").alias("row"), "n"), "row").groupBy("comp").agg(F.sum("n").alias("weight"))
+    members = checkpoint(members.join(weights, "comp"))
+    total = members.where("row = comp").agg(F.sum("weight")).first()[0] or 0
 
     def sets(r: dict, b: Batch) -> list[tuple]:
         grams, at = gram_sets(b, rule.words)
-        return [(x["comp"], (r["batch"] << ROW_BITS) + x["k"], int(at[x["k"] + 1] - at[x["k"]]), grams[at[x["k"]] : at[x["k"] + 1]].astype("<u8").tobytes()) for x in r["chosen"]]
+        return [(x["comp"], x["weight"], (r["batch"] << ROW_BITS) + x["k"], int(at[x["k"] + 1] - at[x["k"]]), grams[at[x["k"]] : at[x["k"] + 1]].astype("<u8").tobytes()) for x in r["chosen"]]
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        return _each(batches.join(_per_batch(rows, "comp", "weight"), "batch"), sets, "comp long, weight long, row long, n long, grams binary")
 
-    asked = _each(batches.join(_per_batch(members, "comp"), "batch"), sets, "comp long, row long, n long, grams binary")
-    linked = components(_verified(asked, weights, total, rule, group))
+    small, big = (sets_of(members.where(x)) for x in (F.col("weight") <= group, F.col("weight") > group))
+    linked = components(_verified(small, big, total, rule, group))
     roots = classes.join(linked.withColumnRenamed("node", "first"), "first", "left").select("n", "a", "c", F.coalesce("root", "first").alias("root"))
     return info.join(roots, ["n", "a", "c"], "left").select("row", "doc_id", "n", F.coalesce("root", "row").alias("root"))
 

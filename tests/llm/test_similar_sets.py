@@ -101,3 +101,18 @@ def test_exact_links_from_similar_answers():
             if rule.links(both, len(sets[i]), len(sets[j])):
                 found.join(i, j)
     assert (roots == found.roots()).all()
+
+
+def test_bitmaps_never_reject():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, k, np.uint64)) for k in (3, 300, 500, 540, 1000, 1100, 4000)]
+    sets += [np.unique(np.concatenate([x[len(x) // 10 :], rng.integers(0, 1 << 62, len(x) // 12, np.uint64)])) for x in sets]
+    at = np.cumsum([0, *map(len, sets)])
+    docs = np.arange(len(sets))
+    n = np.diff(at)
+    maps = similar_sets.Maps(similar_sets.bitmaps(np.concatenate(sets), at, docs).view(np.uint64), n, docs)
+    for i in docs:
+        for j in docs:
+            apart = len(np.setxor1d(sets[i], sets[j]))
+            unlike = int(maps.unlike(np.array([i]), np.array([j]))[0])
+            assert unlike <= apart and (unlike == 0) <= (apart == 0 or abs(maps.level[i] - maps.level[j]) > 1)
