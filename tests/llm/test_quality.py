@@ -20,7 +20,7 @@ def stats(text):
 
 
 def test_statistics(spark):
-    clean = "It was the best of times and " + " ".join(f"tale{k} of the city" for k in range(20)) + "."
+    clean = "It was the best of times and " + " ".join(f"tale{k} of river{k} and" for k in range(20)) + "."
     texts = [None, "", " \n\t", "a b c a b c", "a a a a", "x\n\nx\ny\nx \n", "é# *|日本 <b>", clean, clean + "\n" + clean, "one two " * 9000, " a b", "A B\r\nA B\r\n" + clean, clean.upper(), "# " * 60 + clean, "zzz " * 30 + clean]
     docs = spark.createDataFrame([(k, t, 3, [1]) for k, t in enumerate(texts)] + [(7, clean, 3, [1]), (None, clean, 3, [1])], "doc_id long, text string, n_words int, words array<int>")
     got = quality.quality(docs).collect()
