@@ -56,6 +56,7 @@ def corpus(seed):
 @pytest.mark.parametrize("size", [1 << 22, 2000])
 def test_against_windows(spark, monkeypatch, size):
     monkeypatch.setattr(batches, "BATCH", size)
+    monkeypatch.setattr(substrings, "REFINED", 300 if size < 5000 else 1 << 20)
     rows = corpus(size)
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, kept string, bucket int")
     assert got(substrings.repeat_digests(docs)) == brute(rows)
@@ -75,3 +76,28 @@ def test_pointers():
     for i in range(len(raw) - 50):
         assert seen.setdefault(raw[i : i + 50], p[i]) == p[i]
     assert len(set(seen.values())) == len(seen)
+
+
+def test_windows_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(50, 77, 300)
+    data = rng.integers(97, 99, sizes.sum()).astype(np.uint8)
+    for k in (k for k in range(0, 280, 3) if k // 9 == (k + 2) // 9):  # repeats
+        a, n = int(sizes[:k].sum()), int(min(sizes[k], sizes[k + 2]))
+        b = int(sizes[: k + 2].sum())
+        data[b : b + n] = data[a : a + n]
+    keys, ids = np.arange(300) // 9, rng.integers(0, 50, 300)
+    want = substrings.repeated_windows(data, sizes, keys, ids, 50)
+    for block in (1, 100, 5000):
+        monkeypatch.setattr(substrings, "REFINED", block)
+        assert (substrings.repeated_windows(data, sizes, keys, ids, 50) == want).all()
+    h = substrings.range_hashes(data, np.arange(200), np.arange(200) + 60)
+    assert (substrings.range_hashes(data, np.arange(200), np.arange(200) + 60, 7) == h).all()
+    stop = np.cumsum(sizes)
+    seen = [[(bytes(data[b - s + i : b - s + i + 50]), d) for i in range(s - 49)] for b, s, d in zip(stop, sizes, ids)]
+    for k in range(300):
+        least = {}
+        for w, d in (x for j in range(300) if keys[j] == keys[k] for x in seen[j]):
+            least[w] = min(d, least.get(w, d))
+        for i, (w, d) in enumerate(seen[k]):
+            assert bool(want[k] >> i & 1) == (least[w] < d)
