@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from logsense.session import checkpoint
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of the sampling order; one bin of a source is sorted in one task.
 BINS = 4096
+#: Sources up to which a table with a row per source is broadcast.
+MANY = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -45,6 +49,11 @@ def _order(doc_id: Column, size: Column, f: Column, z: Column, n: Column, seed:
     return (u / (F.lit(1.0) - u)) * ((F.lit(1.0) - odds) / odds)
 
 
+def _bounded(by_source: DataFrame) -> DataFrame:
+    """A checkpointed table with a row per source, broadcast if its rows, counted, are few."""
+    return F.broadcast(by_source) if by_source.limit(MANY + 1).count() <= MANY else by_source
+
+
 def source_targets(sized: DataFrame, weights=(5, 2, 1), share=1.5, most=2) -> DataFrame:
     """One row per source: words n, preference sum z, target, whole copies, odds and words left over.
 
@@ -74,7 +83,7 @@ def plan_mix(sized: DataFrame, weights=(5, 2, 1), share=1.5, most=2, seed=7) ->
     A document is drawn once more if its (order, doc_id, size) isn't above the key. The key is that of
     the last document in order whose middle word lies within the words left over.
     """
-    targets = source_targets(sized, weights, share, most)
+    targets = _bounded(checkpoint(source_targets(sized, weights, share, most)))
     drawn = _joined(sized, targets).where((F.col("odds") > 0) & (F.col("size") > 0))
     drawn = drawn.withColumn("q", _order(F.col("doc_id"), F.col("size"), F.col("odds"), F.col("z"), F.col("n"), seed))
     drawn = drawn.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("q") / (1 + F.col("q")) * BINS)).cast("int"))
@@ -83,12 +92,12 @@ def plan_mix(sized: DataFrame, weights=(5, 2, 1), share=1.5, most=2, seed=7) ->
     by_bin = by_bin.withColumn("upto", F.sum("words").over(upto))
     inside = by_bin.where(F.col("upto") <= F.col("left")).groupBy("source").agg(F.max("key").alias("key"))
     split = by_bin.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") < F.col("left"))).select(F.col("source").alias("s"), F.col("bin").alias("b"), (F.col("upto") - F.col("words")).alias("before"))
-    near = drawn.join(split, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    near = drawn.join(_bounded(checkpoint(split)), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     cum = F.sum("size").over(Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("mid", F.col("before") + cum - F.col("size") / 2.0).where(F.col("mid") <= F.col("left"))
     keys = inside.unionByName(near.groupBy("source").agg(F.max(_key()).alias("key"))).groupBy("source").agg(F.max("key").alias("key"))
     keys = keys.select(F.col("source").alias("s"), "key")
-    return targets.join(keys, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return _bounded(checkpoint(targets.join(keys, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")))
 
 
 def _key() -> Column:
@@ -96,7 +105,7 @@ def _key() -> Column:
 
 
 def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with their source's plan. The plan has a row per source; Spark broadcasts it if it is small."""
+    """Rows with their source's row of a plan."""
     p = plan.withColumnRenamed("source", "plan_source")
     return rows.join(p, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
