@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,24 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 
 
+_M_MMAP_THRESHOLD, _lean = -3, False
+
+
+def lean() -> None:
+    """Have this worker give large arrays back to the system as soon as they are freed.
+
+    Idle workers stay in memory beside the running ones, so what they keep counts.
+    """
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(_M_MMAP_THRESHOLD, 1 << 18)
+        except (OSError, AttributeError):  # another C library: memory is kept longer
+            pass
+
+
 def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and len + 1 offsets into them; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):

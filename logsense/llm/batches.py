@@ -16,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsense.llm.arrays import flat, pieces
+from logsense.llm.arrays import flat, lean, pieces
 from logsense.session import checkpoint, ship
 
 #: Bytes of text in a batch, about, and for each bucket.
-BATCH, BUCKET = 4 << 20, 4 << 20
+BATCH, BUCKET = 2 << 20, 4 << 20
 #: Rows in a batch at most; a row's number is its batch's shifted by ROW_BITS, and its place.
 ROW_BITS = 16
 NO_ID = np.iinfo(np.int64).max
@@ -54,6 +54,7 @@ def pack(docs: DataFrame, body: str = "text") -> DataFrame:
     other = [c for c in docs.columns if c != body]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         k, held = 0, []
 
         def row(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -103,6 +104,7 @@ def _plain(b: pa.RecordBatch) -> pa.RecordBatch:
 
 def unpack(r: dict) -> Batch:
     """The batch in one row."""
+    lean()
     data = expand(r["body"], r["n_body"]) if r["n_body"] else np.zeros(0, np.uint8)
     with pa.ipc.open_stream(r["rest"]) as s:
         rest = s.read_all().combine_chunks().to_batches()[0]

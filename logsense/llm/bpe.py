@@ -24,11 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsense.llm.arrays import binaries, flat, pieces
+from logsense.llm.arrays import binaries, flat, lean, pieces
 from logsense.session import ship
 
 #: Entries after which a worker empties its cache of merged slices.
-CACHE = 300_000
+CACHE = 200_000
+#: Bytes of text, or of ids, that one batch of results covers.
+OUT = 4 << 20
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
 # Symbols: classes of code points with what matters of their right neighbours.
 SYM_L, SYM_N, SYM_O, SYM_SHORT, SYM_LONG, SYM_BLANKS, SYM_LAST_SPACE, SYM_LAST_BLANK = range(8)
@@ -149,16 +151,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
-    if n < 48:
-        parts = [piece[i : i + 1] for i in range(n)]
-        get = ranks.get
-        while len(parts) > 1:
-            best = min((r, i) for i, r in enumerate(get(a + b, 1 << 40) for a, b in zip(parts, parts[1:], strict=False)))
-            if best[0] == 1 << 40:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[p] for p in parts]
+    if n < 64:
+        get, none = ranks.get, 1 << 40
+        edge = list(range(n + 1))
+        pair = [get(piece[i : i + 2], none) for i in range(n - 1)]  # rank of each part with the next
+        while pair and (least := min(pair)) < none:
+            i = pair.index(least)
+            del edge[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = get(piece[edge[i] : edge[i + 2]], none)
+            if i:
+                pair[i - 1] = get(piece[edge[i - 1] : edge[i + 1]], none)
+        return [ranks[piece[x:y]] for x, y in zip(edge, edge[1:], strict=False)]
     end, prev = list(range(1, n + 1)), list(range(-1, n - 1))  # a part is piece[i:end[i]]; end[i] is the next part
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -224,18 +228,21 @@ def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         cache = _merged(path)
         lens = vocabulary(path)[2]
         for batch in batches:
             data, at = flat(batch.column("text"))
-            ids = []
-            for i, j in pieces(at):
-                ids += encode_texts(data[at[i] : at[j]], at[i : j + 1] - at[i], cache.__getitem__)
-            columns, names = [batch.column("doc_id"), binaries(ids)], ["doc_id", "ids"]
-            if offsets:
-                of = lambda x: (np.cumsum(n := lens[np.frombuffer(x, "<u4")]) - n).astype("<u4").tobytes()
-                columns, names = [*columns, binaries([of(x) for x in ids])], [*names, "offsets"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for i, j in pieces(at, OUT):
+                ids = []
+                for a, b in pieces(at[i : j + 1]):
+                    own = at[i + a : i + b + 1]
+                    ids += encode_texts(data[own[0] : own[-1]], own - own[0], cache.__getitem__)
+                columns, names = [batch.column("doc_id").slice(i, j - i), binaries(ids)], ["doc_id", "ids"]
+                if offsets:
+                    of = lambda x: (np.cumsum(n := lens[np.frombuffer(x, "<u4")]) - n).astype("<u4").tobytes()
+                    columns, names = [*columns, binaries([of(x) for x in ids])], [*names, "offsets"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary" + ", offsets binary" * offsets)
@@ -266,9 +273,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             ids = batch.column("ids")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, binaries([decode_ids(x.as_buffer(), path) for x in ids])], ["doc_id", "ids", "decoded"])
+            for i, j in pieces(flat(ids)[1], OUT):
+                part = ids.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), part, binaries([decode_ids(x.as_buffer(), path) for x in part])], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsense.llm.arrays import flat, pieces
+from logsense.llm.arrays import flat, lean, pieces
 from logsense.llm.bpe import read_ranks
 from logsense.session import ship
 
 #: Rows per language, about, that the probabilities are learned from.
-SAMPLE = 1000
+SAMPLE = 500
 ROUNDS, FLOOR, LONGEST, WORD_BYTES, CACHE = 4, 1e-6, 16, 64, 300_000
 #: Probabilities are held times this to the power of the bytes covered, against underflow.
 LIFT = 32.0
@@ -199,6 +199,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[bytes]])
     shared = spark.sparkContext.broadcast((langs, prob, entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         langs, prob, entries = shared.value
         scores = Scores(Pieces(entries), prob)
         find, get = LETTERS.findall, scores.__getitem__

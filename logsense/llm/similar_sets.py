@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsense.llm.arrays import binaries
+from logsense.llm.arrays import binaries, lean
 from logsense.llm.batches import NO_ID, ROW_BITS, Batch, bucket_count, expand, pack, squeeze, unpack
 from logsense.llm.substrings import _MULT, NO_BOUND, _repeated_anchors, by_bucket, mix, no_rest, range_hashes
 from logsense.session import checkpoint
@@ -389,6 +389,7 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
     parts = int(max(8, total // group))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         out = [pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})]
         for _, own in pdf.groupby("comp"):
             own = own.sort_values("row")
@@ -488,6 +489,7 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
     lists = _each(batches.join(of_classes.join(repeated, "batch"), "batch"), postings, "wide int, n_grams long, n_sets long, n_body long, body binary")
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         key, doc, place, row, n, words_ = _read_postings(pdf)
         rows, at = np.unique(row, return_index=True)
         return _star(rows, candidate_links(key, np.searchsorted(rows, row[doc]), place, n[at], Maps(words_, n, at), rule))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsense.llm.batches import Batch, bucket_count, expand, pack, squeeze, unpack, with_replies
-from logsense.llm.arrays import binaries
+from logsense.llm.arrays import binaries, lean
 
 GRAM = 24
 _RNG = np.random.default_rng(20240229)
@@ -38,6 +38,8 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = _RNG.integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = int(_MULT[6])
 _INVERSE = pow(_POWER, -1, 1 << 64)
+#: Bytes of spans refined at once, about.
+REFINED = 1 << 20
 #: Bits of an anchor's sort key that hold its position; the rest is its hash.
 PLACE = np.uint64(28)
 
@@ -79,12 +81,20 @@ class Powers:
 _powers = Powers()
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of the bytes in each range."""
-    up, down = _powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Hash of the bytes in each range; starts in order. Worked out in blocks, so that memory stays small."""
+    out = np.zeros(len(start), np.uint64)
+    cut = np.searchsorted(start, np.arange(0, len(data) + block, block))
+    for i, j in zip(cut, cut[1:], strict=False):
+        if i < j:
+            low, high = start[i], stop[i:j].max()
+            own = data[low:high]
+            up, down = _powers.get(len(own) + 1)
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_BYTE[own] * up[: len(own)], out=total[1:])
+            a, b = start[i:j] - low, stop[i:j] - low
+            out[i:j] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+    return out
 
 
 class Spans:
@@ -173,6 +183,19 @@ def refine(data: np.ndarray, length: int) -> np.ndarray:
     return pointer.astype(np.int64)
 
 
+def refined_masks(text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Bit mask of each distinct span's windows that also occur in a span of smaller id."""
+    n_windows = sizes - length + 1
+    base = np.cumsum(sizes) - sizes
+    span = np.repeat(np.arange(len(sizes)), n_windows)
+    shift = np.arange(len(span)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    pointer = refine(text, length)[base[span] + shift]
+    least = np.full(pointer.max() + 1, NO_BOUND)
+    np.minimum.at(least, pointer, ids[span])
+    hit = least[pointer] < ids[span]
+    return np.bincount(span[hit], 2.0 ** shift[hit], len(sizes)).astype(np.uint32)
+
+
 def repeated_windows(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """Bit mask of each span's windows that also occur under a smaller id than the span's own."""
     stop = np.cumsum(sizes)
@@ -186,18 +209,17 @@ def repeated_windows(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, ids:
     masks = np.zeros(len(lead), np.uint32)
     _, kind, n = np.unique(keys[lead], return_inverse=True, return_counts=True)
     shared = np.flatnonzero(n[kind] > 1)
-    if len(shared):
-        own = lead[shared]
-        text = gathered(data, stop[own] - sizes[own], stop[own])
-        n_windows = sizes[own] - length + 1
-        base = np.cumsum(sizes[own]) - sizes[own]
-        span = np.repeat(np.arange(len(own)), n_windows)
-        shift = np.arange(len(span)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        pointer = refine(text, length)[base[span] + shift]
-        least = np.full(pointer.max() + 1, NO_BOUND)
-        np.minimum.at(least, pointer, ids[own][span])
-        hit = least[pointer] < ids[own][span]
-        masks[shared] = np.bincount(span[hit], (2.0 ** shift[hit]), len(own)).astype(np.uint32)
+    shared = shared[np.argsort(kind[shared], kind="stable")]
+    upto = np.cumsum(sizes[lead[shared]])
+    new_kind = np.flatnonzero(np.diff(kind[shared], append=-1))  # the last span of each bucket
+    i = 0
+    while i < len(shared):  # whole buckets at once, up to a bounded size
+        base = upto[i] - sizes[lead[shared[i]]]
+        k = np.searchsorted(upto[new_kind], base + REFINED, "right") - 1
+        j = max(int(new_kind[max(k, 0)]), int(new_kind[np.searchsorted(new_kind, i)])) + 1
+        own = lead[shared[i:j]]
+        masks[shared[i:j]] = refined_masks(gathered(data, stop[own] - sizes[own], stop[own]), sizes[own], ids[own], length)
+        i = j
     return np.where(ids > ids[lead][group], np.uint32(0xFFFFFFFF), masks[group])
 
 
@@ -230,6 +252,7 @@ def no_rest(batches: DataFrame) -> DataFrame:
 
 def _repeated_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     """Bits of each batch's keys that occur in another batch, or under several ids."""
+    lean()
     parts = [np.frombuffer(x, "<u4") for x in pdf["keys"]]
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(pdf["several"], parts, strict=True)])
     _, place, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
@@ -303,6 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int | None =
     asked = with_replies(batches, found)
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         keys = [np.frombuffer(x, "<u4") for x in pdf["keys"]]
         sizes = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["windows"]]).astype(np.int64) + length - 1
         ids = np.concatenate([expand(x, 8 * len(k), np.int64) for x, k in zip(pdf["ids"], keys, strict=True)])
