@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsense.session import ship
+from logsense.session import checkpoint, ship
 
 #: A subtree is a template if it is on so many pages of its host and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.1
+#: Bytes up to which the table of templates is broadcast; beyond, a host's pages are dealt over so many tasks.
+BROADCAST_BYTES, SALT = 8 << 20, 64
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -176,16 +178,27 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "h"])
 
     seen = with_host(pages).select("host", "html").mapInArrow(subtrees, "host string, h long").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    seen = checkpoint(seen.where(F.col("h").isNull() | (F.col("n") >= least_pages)))
     totals = seen.where(F.col("h").isNull()).select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    often = seen.where(F.col("h").isNotNull() & (F.col("n") >= least_pages)).join(totals, F.col("host") == F.col("of"))
+    often = seen.where(F.col("h").isNotNull()).join(totals, F.col("host") == F.col("of"))
     return often.where(F.col("n") >= least_share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("templates"))
 
 
+def with_templates(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """with_host() and each page's templates, null for none. Pages don't move if the table, measured, is small."""
+    x, known = with_host(pages), known.withColumnRenamed("host", "of")
+    size = known.agg(F.sum(F.octet_length("of") + 8 * F.size("templates"))).first()[0] or 0
+    if size <= most:
+        return x.join(F.broadcast(known), F.col("host") == F.col("of"), "left")
+    x = x.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)))
+    known = known.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return x.join(known, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
+
+
 def main_text(pages: DataFrame, **how) -> DataFrame:
     """page_id, url, text of every page."""
     ship(pages.sparkSession)
-    known = site_templates(pages, **how).withColumnRenamed("host", "of")
-    x = with_host(pages).join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "templates")
+    x = with_templates(pages, checkpoint(site_templates(pages, **how))).select("page_id", "url", "html", "templates")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

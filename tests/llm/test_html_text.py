@@ -1,6 +1,6 @@
 """Main text of pages, and templates found by recurrence."""
 
-from logsense.llm.html_text import Page, main_text, site_templates
+from logsense.llm.html_text import Page, main_text, site_templates, with_templates
 
 
 def text(html):
@@ -45,3 +45,14 @@ def test_site_templates(spark):
     bare = spark.createDataFrame([(k, f"http://w/{k}", f"<div><p>Menu</p></div><div><p>body {k}</p></div>") for k in range(9)], "page_id long, url string, html string")
     assert {r.text for r in main_text(bare).collect()} == {f"body {k}" for k in range(9)}
     assert main_text(pages.limit(0)).count() == 0
+
+
+def test_templates_too_many_to_broadcast(spark):
+    rows = [(k, f"http://h{k % 2}/{k}", f"<div><p>Menu {k % 2}</p></div><div><p>body {k}</p></div>") for k in range(30)]
+    rows += [(None, None, "<p>x</p>"), (99, "http://other/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    known = site_templates(pages)
+    columns = ["page_id", "url", "html", "templates"]
+    few, many = (sorted(with_templates(pages, known, most).select(columns).collect(), key=str) for most in (1 << 20, 0))
+    assert few == many and len(few) == len(rows)
+    assert sum(r.templates is not None for r in few) == 30
