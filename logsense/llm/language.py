@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from logsense.llm.arrays import flat, lean, pieces
 from logsense.llm.bpe import read_ranks
-from logsense.session import ship
+from logsense.llm.mixing import _bounded
+from logsense.session import checkpoint, ship
 
 #: Rows per language, about, that the probabilities are learned from.
 SAMPLE = 500
@@ -144,9 +145,9 @@ def chunks(word: str) -> list[bytes]:
 def train(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, list[bytes]]:
     """Languages, probabilities and entries, from about `sample` rows a language that aren't held out."""
     labelled = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 2)).select("doc_id", "text", "lang")
-    n = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = _bounded(checkpoint(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))))
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
-    chosen = labelled.join(n.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    chosen = labelled.join(n.select(F.col("lang").alias("l"), "n"), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
     rows = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
