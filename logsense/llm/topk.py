@@ -8,8 +8,9 @@ and the best of all blocks are ranked per query at the end.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a query is only
 compared with vectors of its own length; rows with a query's own vec_id are its own row, and rows without
-a vec_id take no part; ties go to the smaller vec_id; fewer candidates than k give fewer results; an empty
-table gives no rows; other columns are ignored.
+a vec_id take no part; each stored row counts, so that copies of a candidate or a query give a result for
+each pair of rows; ties go to the smaller vec_id; fewer candidates than k give fewer results; an empty table
+gives no rows; other columns are ignored. Copies are counted before packing and told apart again at the end.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ def valid(vectors: DataFrame) -> DataFrame:
     return x.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
 
 
+def counted(vectors: DataFrame) -> DataFrame:
+    """Distinct vec_id and x with the number of their rows, so that copies don't take places among a block's best."""
+    return vectors.groupBy("vec_id", "x").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def exact_kind(rows: np.ndarray, others: np.ndarray) -> type:
     """A type in which inner products of these integers are exact."""
     most = float(np.abs(rows).max(initial=0)) * float(np.abs(others).max(initial=0)) * rows.shape[1]
@@ -40,20 +46,20 @@ def exact_kind(rows: np.ndarray, others: np.ndarray) -> type:
 
 
 def packed(vectors: DataFrame, size: int, n: int, lists: bool) -> DataFrame:
-    """Blocks of about `size` vectors of one length: block, dim, ids, values and sorted lists as bytes."""
+    """Blocks of about `size` vectors of one length: block, dim, ids, copies, values and sorted lists as bytes."""
     blocks = max(1, -(-n // size))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         values = np.floor(SCALE * np.stack(pdf["x"].to_numpy()))
         order = np.argsort(values, axis=0, kind="stable").T.astype("<u4").tobytes() if lists else b""
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vals": [values.astype("<f8").tobytes()], "lists": [order]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "copies": [pdf["copies"].to_numpy("<i8").tobytes()], "vals": [values.astype("<f8").tobytes()], "lists": [order]})
 
-    x = vectors.select("vec_id", "x", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    return x.groupBy("block", "dim").applyInPandas(pack, "block int, dim int, ids binary, vals binary, lists binary")
+    x = vectors.select("vec_id", "x", "copies", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("block"))
+    return x.groupBy("block", "dim").applyInPandas(pack, "block int, dim int, ids binary, copies binary, vals binary, lists binary")
 
 
 def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, asc: np.ndarray, sorted_values: np.ndarray, k: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """vec_ids and scores of the k best rows; asc and sorted_values: lists by dimension, least value first."""
+    """Places and scores of the k best rows; asc and sorted_values: lists by dimension, least value first."""
     n = len(ids)
     up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
     seen[:] = ids == own
@@ -77,7 +83,7 @@ def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndar
         if len(found) == k and bound < scores[-1]:
             break
         done, depth = depth, depth * 3
-    return ids[found], scores
+    return found, scores
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -90,17 +96,17 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all other vectors. Queries: ids divisible by `every`."""
     ship(vectors.sparkSession)
     vectors = valid(vectors)
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "x"])
+    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
     n, n_queries = vectors.count(), queries.count()
-    index = checkpoint(packed(vectors, CANDIDATES, n, True))
-    asked = packed(queries, QUERIES_AT_ONCE, n_queries, False).select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"))
+    index = checkpoint(packed(counted(vectors), CANDIDATES, n, True))
+    asked = packed(counted(queries), QUERIES_AT_ONCE, n_queries, False).select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("vals").alias("q_vals"))
     asked = asked.withColumn("for_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // CANDIDATES)) - 1))))
     pairs = index.join(asked, (F.col("block") == F.col("for_block")) & (F.col("dim") == F.col("q_dim")))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
+                ids, q_ids, copies, q_copies = (np.frombuffer(v, "<i8") for v in (r.ids, r.q_ids, r.copies, r.q_copies))
                 rows = np.frombuffer(r.vals, "<f8").reshape(len(ids), r.dim)
                 asc = np.frombuffer(r.lists, "<u4").reshape(r.dim, len(ids)).astype(np.int64)
                 asked = np.frombuffer(r.q_vals, "<f8").reshape(len(q_ids), r.dim)
@@ -111,11 +117,15 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     rows, asked = rows.astype(kind), asked.astype(kind)
                 in_order, seen = np.take_along_axis(rows.T, asc, 1), np.zeros(len(ids), bool)
                 out = []
-                for own, q in zip(q_ids.tolist(), asked, strict=True):
+                for own, times, q in zip(q_ids.tolist(), q_copies.tolist(), asked, strict=True):
                     got, scores = threshold_search(q, own, ids, rows, asc, in_order, k, seen)
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": got, "score": scores.astype(np.int64)}))
-                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[got], "score": scores.astype(np.int64), "copies": times * copies[got]}))
+                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copies": []})
 
-    found = pairs.select("ids", "vals", "lists", "dim", "q_ids", "q_vals").mapInPandas(search, "query_id long, vec_id long, score long").distinct()
+    found = pairs.select("ids", "copies", "vals", "lists", "dim", "q_ids", "q_copies", "q_vals").mapInPandas(search, "query_id long, vec_id long, score long, copies long")
+    found = found.groupBy("query_id", "vec_id", "score").agg(F.sum("copies").alias("copies"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+    best = best.withColumn("before", F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")).where(F.col("before") < k)
+    ranks = F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("copies"), F.lit(k)))
+    return best.select("query_id", F.explode(ranks.cast("array<int>")).alias("rank"), "vec_id", "score")

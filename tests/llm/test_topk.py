@@ -36,6 +36,31 @@ def test_against_all_pairs(spark, monkeypatch):
     assert got(topk.top_k(frame(spark, rows), 5, 20)) == brute(rows, 5, 20)
 
 
+def test_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(np.float32(v)) for v in x]) for i, x in enumerate(rng.normal(0, 0.3, (60, 4)))]
+    best = max((r for r in rows if r[0] % 20), key=lambda r: sum(a * b for a, b in zip(r[1], rows[20][1])))
+    rows += [(i, x) for i, x in rows if i < 20 or i > 40]
+    rows += [best] * 5 + [(40, rows[3][1]), (7, rows[8][1])]  # the same ids with other vectors
+    for size in (8192, 20):
+        monkeypatch.setattr(topk, "CANDIDATES", size)
+        assert got(topk.top_k(frame(spark, rows), 5, 20)) == sorted_by_query(rows, 5, 20)
+    every_twice = rows[:60] * 2
+    monkeypatch.setattr(topk, "CANDIDATES", 8192)
+    out = got(topk.top_k(frame(spark, every_twice), 20, 20))
+    assert out == sorted_by_query(every_twice, 20, 20) and len(out) == 3 * 20
+
+
+def sorted_by_query(rows, k, every):
+    """As the query's SQL has it: all pairs of rows, ranked by query_id."""
+    v = [(i, [math.floor(64 * float(c)) for c in x]) for i, x in rows]
+    out = []
+    for q in {i for i, _ in v if i % every == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), j) for i, x in v if i == q for j, y in v if j != q)
+        out += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
+    return sorted(out)
+
+
 def test_large_values_and_few_rows(spark):
     rows = [(0, [3e6, -1.0]), (1, [2e6, 5.0]), (20, [1.0, 1.0])]
     assert got(topk.top_k(frame(spark, rows), 20, 20)) == brute(rows, 20, 20)
