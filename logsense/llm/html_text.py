@@ -1,7 +1,7 @@
 """Main text of web pages, with each site's own templates removed.
 
-Pass one hashes every container element's subtree and counts, per host, the pages it occurs on; pass two
-drops the subtrees that recur on many pages of their host, beside what HTML itself marks as no article
+Pass one hashes every container element's subtree and counts, per host, the pages of different text it
+occurs on, so that copies of a page are one; pass two drops the subtrees that recur, beside what HTML itself marks as no article
 (menus, footers, scripts, forms and so on) and elements whose class, id or role says so. Headings and
 paragraphs are never counted as templates, so a passage that many articles share stays.
 
@@ -18,16 +18,17 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsense.session import checkpoint, ship
 
-#: A subtree is a template if it is on so many pages of its host and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.1
-#: Bytes up to which the table of templates is broadcast; beyond, a host's pages are dealt over so many tasks.
-BROADCAST_BYTES, SALT = 8 << 20, 64
+#: A subtree is a template if it is on so many pages of its host, however large the host is.
+LEAST_PAGES = 4
+#: Bytes up to which the table of templates is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -115,8 +116,7 @@ class Page:
         for k, (tag, start, end, _, inside, holds) in enumerate(self.elements):
             # an article's quotes and tables are its own, and what makes up most of a page is no template
             if tag in CONTAINERS and not holds and not (inside and tag in OWN) and 2 * (end - start) <= len(self.html):
-                raw = " ".join(self.html[start:end].split())
-                out[k] = int.from_bytes(blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                out[k] = digest(" ".join(self.html[start:end].split()))
         return out
 
     def text(self, templates: set[int]) -> str:
@@ -164,35 +164,69 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host and the subtree hashes that recur on many of its pages."""
+def digest(text: str) -> int:
+    """64 bits of a text's hash."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host and the subtree hashes that recur on so many of its pages of different text."""
     ship(pages.sparkSession)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, texts = [], [], []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = [None, *sorted(set(Page(html).subtrees().values()))]  # null counts the page
-                hosts += [host] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "h"])
+                page = Page(html)
+                if own := set(page.subtrees().values()):
+                    hosts += [host] * len(own)
+                    hashes += own
+                    texts += [digest(page.text(set()))] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())], ["host", "h", "page"])
 
-    seen = with_host(pages).select("host", "html").mapInArrow(subtrees, "host string, h long").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    seen = checkpoint(seen.where(F.col("h").isNull() | (F.col("n") >= least_pages)))
-    totals = seen.where(F.col("h").isNull()).select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    often = seen.where(F.col("h").isNotNull()).join(totals, F.col("host") == F.col("of"))
-    return often.where(F.col("n") >= least_share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("templates"))
+    seen = with_host(pages).select("host", "html").mapInArrow(subtrees, "host string, h long, page long")
+    seen = seen.groupBy("host", "h").agg(F.count_distinct("page").alias("n"))
+    return seen.where(F.col("n") >= least_pages).groupBy("host").agg(F.collect_list("h").alias("templates"))
 
 
 def with_templates(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """with_host() and each page's templates, null for none. Pages don't move if the table, measured, is small."""
-    x, known = with_host(pages), known.withColumnRenamed("host", "of")
-    size = known.agg(F.sum(F.octet_length("of") + 8 * F.size("templates"))).first()[0] or 0
+    """with_host() and each page's own templates, null for none. Pages don't move if the table, measured, is small."""
+    x = with_host(pages)
+    size = known.agg(F.sum(F.octet_length("host") + 8 * F.size("templates"))).first()[0] or 0
     if size <= most:
-        return x.join(F.broadcast(known), F.col("host") == F.col("of"), "left")
-    x = x.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)))
-    known = known.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return x.join(known, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
+        kind = pages.schema["page_id"].dataType.simpleString()
+        found = pages.sparkSession.sparkContext.broadcast({r.host: np.sort(np.array(r.templates, np.int64)) for r in known.collect()})
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = []
+                for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                    if (all_ := found.value.get(host)) is None:
+                        own.append(None)
+                        continue
+                    hashes = np.unique(np.array(list(Page(html).subtrees().values()), np.int64))
+                    at = np.minimum(np.searchsorted(all_, hashes), len(all_) - 1)
+                    own.append(hashes[all_[at] == hashes].tolist() or None)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64()))], [*batch.schema.names, "templates"])
+
+        return x.mapInArrow(look_up, f"page_id {kind}, url string, html string, host string, templates array<bigint>")
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hashes = [], []
+            for k, html in enumerate(batch.column("html").to_pylist()):
+                own = set(Page(html).subtrees().values())
+                at += [k] * len(own)
+                hashes += own
+            rows = batch.select(["host", "a", "b"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hashes, pa.int64())], ["host", "a", "b", "h"])
+
+    # a page is known by its host and two hashes; what it has in common with its host's table is found by a join
+    x = x.withColumns({"a": F.xxhash64("html"), "b": F.xxhash64("html", F.lit(1))})
+    own = x.select("host", "a", "b", "html").mapInArrow(subtrees, "host string, a long, b long, h long").distinct()
+    own = own.join(known.select("host", F.explode("templates").alias("h")), ["host", "h"])
+    own = own.groupBy("host", "a", "b").agg(F.sort_array(F.collect_list("h")).alias("templates"))
+    return x.join(own, ["host", "a", "b"], "left").select("page_id", "url", "html", "host", "templates")
 
 
 def main_text(pages: DataFrame, **how) -> DataFrame:

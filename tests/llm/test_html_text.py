@@ -56,3 +56,15 @@ def test_templates_too_many_to_broadcast(spark):
     few, many = (sorted(with_templates(pages, known, most).select(columns).collect(), key=str) for most in (1 << 20, 0))
     assert few == many and len(few) == len(rows)
     assert sum(r.templates is not None for r in few) == 30
+
+
+def test_templates_of_large_hosts_and_copies(spark):
+    def page(k, menu, body):
+        return (k, f"http://big/{k}", f"<body><div>{menu}</div><p>{body}</p><p>more of it, so that it is longer</p></body>")
+
+    rows = [page(k, f"section {k // 5}", f"own {k}") for k in range(100)]
+    rows += [page(k, "a box of this page's own", "copied page") for k in range(100, 110)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in main_text(pages).collect():
+        want = f"own {r.page_id}" if r.page_id < 100 else "a box of this page's own\ncopied page"
+        assert r.text == want + "\nmore of it, so that it is longer"
