@@ -7,7 +7,8 @@ paragraphs are never counted as templates, so a passage that many articles share
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; tags left open
 end with their parent, an unfinished tag at the end is dropped; a page without article or main element is
-taken from its whole body; equal pages give equal texts; an empty table gives no rows; other columns
+taken from its whole body; where templates leave nothing but headings, the longest of them that holds
+more than links stays, as it may be an article with copies; equal pages of a host give equal texts; an empty table gives no rows; other columns
 are dropped.
 """
 
@@ -43,7 +44,8 @@ BLOCKS = CONTAINERS | frozenset("html head body main article p h1 h2 h3 h4 h5 h6
 DROPPED = frozenset("head nav footer aside form button select menu dialog audio video label fieldset".split())
 OWN = frozenset("blockquote table figure dl details address center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 html body main".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = TITLES | {"html", "body", "main"}
 # Words in class, id and role that mark what isn't the article.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail widget widgets footer foot header masthead topbar toolbar share sharing social related recommended recommendations more-like teaser comment comments commentlist disqus reply replies respond pagination pager skip legal copyright login search contentinfo complementary".split()
@@ -114,23 +116,41 @@ class Page:
         """Hash of each subtree that may be a template, by the element's number."""
         out = {}
         for k, (tag, start, end, _, inside, holds) in enumerate(self.elements):
-            # an article's quotes and tables are its own, and what makes up most of a page is no template
-            if tag in CONTAINERS and not holds and not (inside and tag in OWN) and 2 * (end - start) <= len(self.html):
+            # an article's quotes and tables are its own
+            if tag in CONTAINERS and not holds and not (inside and tag in OWN):
                 out[k] = digest(" ".join(self.html[start:end].split()))
         return out
 
     def text(self, templates: set[int]) -> str:
         """The article's blocks, one on a line."""
         known = {k for k, h in self.subtrees().items() if h in templates} if templates else set()
+        blocks = self.blocks(known)
+        if known and not any(outside for _, outside in blocks):
+            # nothing but headings is left: these may be copies of an article that differ around it
+            marked = [e for e in self.elements if e[3] and not e[5]]
+            ranges = [(e[2] - e[1], -k) for k in known if (e := self.elements[k])[4] >= bool(self.main) and not self.only_links(e) and not any(m[1] <= e[1] and e[2] <= m[2] for m in marked)]
+            if ranges:
+                _, first, end, *_ = self.elements[-max(ranges)[1]]
+                blocks = self.blocks({k for k in known if not first <= self.elements[k][1] < end})
+        return "\n".join(s for s, _ in blocks)
+
+    def only_links(self, element: list) -> bool:
+        """Whether an element has no text outside links."""
+        rest = re.sub(r"<a\b.*?</a\s*>", "", self.html[element[1] : element[2]], flags=re.S | re.I)
+        return not re.search(r"\w", unescape(TOKEN.sub("", rest)))
+
+    def blocks(self, known: set[int]) -> list[tuple[str, bool]]:
+        """Texts left without the known elements, each with whether it stands outside headings."""
         gone = sorted((e[1], e[2]) for k, e in enumerate(self.elements) if (e[3] and not e[5]) or k in known)
         kept = [(e[1], e[2]) for e in self.elements if e[0] == self.main and not e[4]] if self.main else [(0, len(self.html))]
         blocks, now = [], []
+        heading = False
         g, upto = 0, 0  # the next range that is gone; where the ranges so far end
         w = 0
 
         def flush() -> None:
             if s := " ".join(unescape("".join(now)).split()):
-                blocks.append(s)
+                blocks.append((s, not heading))
             now.clear()
 
         def within(at: int) -> bool:
@@ -149,13 +169,14 @@ class Page:
             tag = (m["tag"] or "").lower()
             if tag in BLOCKS:
                 flush()
+                heading = not m["end"] and tag in TITLES
             elif tag == "br":
                 now.append(" ")
             last = m.end()
         if last < len(self.html) and within(last):
             now.append(self.html[last:])
         flush()
-        return "\n".join(blocks)
+        return blocks
 
 
 def with_host(pages: DataFrame) -> DataFrame:

@@ -68,3 +68,19 @@ def test_templates_of_large_hosts_and_copies(spark):
     for r in main_text(pages).collect():
         want = f"own {r.page_id}" if r.page_id < 100 else "a box of this page's own\ncopied page"
         assert r.text == want + "\nmore of it, so that it is longer"
+
+
+def test_templates_that_fill_a_page(spark):
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(9)) + "</ul>"
+    copied = f"<div><p>{'The article that was copied. ' * 9}</p></div>"
+    rows = [(k, f"<body>{menu}<p>{'long ' * 99}{k}</p></body>") for k in range(3)]
+    rows += [(k, f"<body>{menu}<p>stub {k}</p></body>") for k in range(3, 6)] + [(6, f"<body><h1>only a title</h1>{menu}</body>")]
+    rows += [(k, f"<article><h1>Title {k}</h1>{copied}</article>") for k in range(10, 16)]
+    pages = spark.createDataFrame([(k, f"http://h/{k}", html) for k, html in rows], "page_id long, url string, html string")
+    for r in main_text(pages).collect():
+        if r.page_id == 6:
+            assert r.text == "only a title"
+        elif r.page_id < 6:
+            assert r.text == (f"{'long ' * 99}{r.page_id}" if r.page_id < 3 else f"stub {r.page_id}")
+        else:
+            assert r.text == f"Title {r.page_id}\n" + ("The article that was copied. " * 9).strip()
