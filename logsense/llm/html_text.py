@@ -2,7 +2,8 @@
 
 Pass one hashes every container element's subtree and counts, per host, the pages of different text it
 occurs on, so that copies of a page are one; pass two drops the subtrees that recur, beside what HTML itself marks as no article
-(menus, footers, scripts, forms and so on) and elements whose class, id or role says so. Headings and
+(menus, footers, scripts, forms and so on) and elements whose class, id or role says so; inside the article
+words such as header, search or share aren't enough, and the element has to recur too. Other headings and
 paragraphs are never counted as templates, so a passage that many articles share stays.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; tags left open
@@ -50,6 +51,8 @@ HEADINGS = TITLES | {"html", "body", "main"}
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail widget widgets footer foot header masthead topbar toolbar share sharing social related recommended recommendations more-like teaser comment comments commentlist disqus reply replies respond pagination pager skip legal copyright login search contentinfo complementary".split()
 )
+# Those of them that also name an article's own parts: inside the article they count only if the element recurs on the host.
+WEAK = frozenset("header masthead foot footer side rail search legal copyright social share sharing alert notice notices banner navigation menu menus advertising promotion sponsor login overlay consent subscription skip".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -61,6 +64,8 @@ def marks(attrs: str) -> set[str]:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             out.add("popup")
+        elif name == "role" and value in MARKED:
+            out.add("nav")  # a role isn't a name that an author makes up
         elif name != "aria-hidden":
             out.update(re.split(r"[^a-z0-9]+", value))
     return out
@@ -72,7 +77,7 @@ class Page:
     def __init__(self, html: str):
         self.html = html
         self.tokens = list(TOKEN.finditer(html))
-        self.elements: list[list] = []  # tag, start, end, marked, inside article, holds article
+        self.elements: list[list] = []  # tag, start, end, marked, inside article, holds article, weak words of its marks
         open_: list[int] = []
         main = re.search(r"<(article|main)\b", html, re.I)
         self.main = main[1].lower() if main else ""
@@ -97,7 +102,7 @@ class Page:
                         break
                 continue
             words = marks(m["attrs"]) if m["attrs"] else set()
-            marked = bool(words & (READERS if tag == "article" else MARKED)) and tag not in HEADINGS
+            marked = set() if tag in HEADINGS else words & (READERS if tag == "article" else MARKED)
             if tag not in BLOCKS and not marked:
                 continue
             if open_ and tag in BLOCKS and self.elements[open_[-1]][0] == "p":
@@ -109,15 +114,18 @@ class Page:
                 for k in open_:
                     self.elements[k][5] = True
             open_.append(len(self.elements))
-            self.elements.append([tag, m.start(), len(html), marked or tag in DROPPED or tag == "header" and not inside, inside, False])
+            sure = bool(marked - WEAK if inside else marked) or tag in DROPPED or tag == "header" and not inside
+            self.elements.append([tag, m.start(), len(html), sure, inside, False, () if sure else sorted(marked)])
         close(0, len(html))
 
     def subtrees(self) -> dict[int, int]:
         """Hash of each subtree that may be a template, by the element's number."""
         out = {}
-        for k, (tag, start, end, _, inside, holds) in enumerate(self.elements):
+        for k, (tag, start, end, _, inside, holds, weak) in enumerate(self.elements):
+            if weak:  # a box for sharing has other addresses on each page, and the same text
+                out[k] = digest(" ".join([*weak, *TOKEN.sub(" ", self.html[start:end]).split()]))
             # an article's quotes and tables are its own
-            if tag in CONTAINERS and not holds and not (inside and tag in OWN):
+            elif tag in CONTAINERS and not holds and not (inside and tag in OWN):
                 out[k] = digest(" ".join(self.html[start:end].split()))
         return out
 

@@ -84,3 +84,17 @@ def test_templates_that_fill_a_page(spark):
             assert r.text == (f"{'long ' * 99}{r.page_id}" if r.page_id < 3 else f"stub {r.page_id}")
         else:
             assert r.text == f"Title {r.page_id}\n" + ("The article that was copied. " * 9).strip()
+
+
+def test_ambiguous_marks_inside_the_article(spark):
+    def page(k):
+        return (
+            f'<body><div class="search"><p>find</p></div><article><header class="entry-header"><h1>Title {k}</h1></header><section id="legal-history"><p>law {k}</p></section>'
+            f'<p id="search-trees">trees {k}</p><div class="section-header"><h2>Part {k}</h2></div><div class="share"><a href="/to?{k}">Share this</a></div>'
+            f'<p class="notice">All rights kept</p><div role="search"><p>find {k}</p></div><div class="ad">Buy {k}</div></article></body>'
+        )
+
+    own = "Title {0}\nlaw {0}\ntrees {0}\nPart {0}"
+    assert text(page(1)) == own.format(1) + "\nShare this\nAll rights kept"
+    pages = spark.createDataFrame([(k, f"http://h/{k}", page(k)) for k in range(5)], "page_id long, url string, html string")
+    assert {r.text for r in main_text(pages).collect()} == {own.format(k) for k in range(5)}
