@@ -8,7 +8,8 @@ from logsense.functions import misc, textstats, unicode_norm
 from logsense.functions.extract import priority_tokens, token_rows
 from logsense.operators import dialogue, ordered
 from logsense.plans.logs import tokens_sql
-from logsense.session import table
+from logsense.session import shared_path, table
+from logsense.sources import store
 
 QUERIES, ORACLES = {}, {}
 
@@ -163,8 +164,14 @@ add("charset_merge", lambda s, d: misc.merged_charset(table(s, d, "documents").s
 
 
 def codec_roundtrip(s, d):
-    x = table(s, d, "benchmark").select("item_id", "text", misc.compressed(F.col("text"), "best").alias("frame"))
-    return x.select("item_id", (misc.decompressed(F.col("frame")) == F.col("text")).alias("same"))
+    """Whether each text is the same when it is read back from the store's Parquet with Zstandard."""
+    rows = table(s, d, "benchmark").select("item_id", "text")
+    path = shared_path(s)
+    store.write(rows.select(F.lit("benchmark").alias("file"), F.col("item_id").alias("line_no"), "text"), path, "best")
+    back = store.restored(store.read(s, path)).groupBy("line_no", F.col("text").alias("stored")).agg(F.count(F.lit(1)).alias("found"))
+    rows = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    both = rows.join(back, F.col("item_id").eqNullSafe(F.col("line_no")) & F.col("text").eqNullSafe(F.col("stored")), "left")
+    return both.select("item_id", F.coalesce(F.col("found") == F.col("n"), F.lit(False)).alias("same"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
 
 
 add("codec_roundtrip", codec_roundtrip, "SELECT item_id, true AS same FROM benchmark")

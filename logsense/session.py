@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,10 +36,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; a local one is set only where the session names
     none, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    _shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, for a table that is written and read again."""
+    return f"{_shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logsense.functions import misc, textstats, unicode_norm
 from logsense.operators import dialogue
+from logsense.plans import registry
 from logsense.sources import store
 from logsense.streaming.lines import level_counts, stream_lines, stream_tokens
 
@@ -102,3 +103,14 @@ def test_dialogue(spark):
 
     want = fnv(b"".join(i.to_bytes(4, "little") + t.encode() for i, t in ((0, "ja0"), (1, "ja1"), (5, "ja5"))))
     assert dialogue.content_hash(base.withColumn("t", F.lit(1)), "t").first().content_hash == want
+
+
+def test_codec_roundtrip_goes_through_the_store(spark, tmp_path, monkeypatch):
+    rows = [(1, "10.0.0.1 said 2024-01-02 ERROR"), (1, "10.0.0.1 said 2024-01-02 ERROR"), (2, ""), (None, "x\n7 \u00e9")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = registry.QUERIES["codec_roundtrip"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.item_id), r.same) for r in got) == [("1", True), ("1", True), ("2", True), ("None", True)]
+    write = store.write
+    monkeypatch.setattr(store, "write", lambda lines, *a: write(lines.withColumn("text", F.replace("text", F.lit("ERROR"), F.lit("WARN"))), *a))
+    got = registry.QUERIES["codec_roundtrip"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.item_id), r.same) for r in got) == [("1", False), ("1", False), ("2", True), ("None", True)]
