@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 
 
-_M_MMAP_THRESHOLD, _lean = -3, False
+_M_MMAP_THRESHOLD, _lean, _libc = -3, False, None
 
 
 def lean() -> None:
@@ -21,14 +21,41 @@ def lean() -> None:
 
     Idle workers stay in memory beside the running ones, so what they keep counts.
     """
-    global _lean
+    global _lean, _libc
     if not _lean:
         _lean = True
         pa.set_memory_pool(pa.system_memory_pool())
         try:
-            ctypes.CDLL(None).mallopt(_M_MMAP_THRESHOLD, 1 << 18)
+            _libc = ctypes.CDLL(None)
+            _libc.mallopt(_M_MMAP_THRESHOLD, 1 << 17)
+            _libc.malloc_trim(0)
         except (OSError, AttributeError):  # another C library: memory is kept longer
-            pass
+            _libc = None
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that leaves an idle worker with no more memory than before it."""
+
+    def whole(batches: Iterator) -> Iterator:
+        lean()
+        yield from run(batches)
+        if _libc is not None:
+            _libc.malloc_trim(0)
+
+    return whole
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function of one group."""
+
+    def whole(pdf):
+        lean()
+        out = run(pdf)
+        if _libc is not None:
+            _libc.malloc_trim(0)
+        return out
+
+    return whole
 
 
 def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsense.llm.arrays import flat, lean, pieces
+from logsense.llm.arrays import flat, lean, pieces, tidy
 from logsense.session import checkpoint, ship
 
 #: Bytes of text in a batch, about, and for each bucket.
@@ -27,6 +27,11 @@ NO_ID = np.iinfo(np.int64).max
 BATCH_SCHEMA = "batch long, n_bytes long, ids binary, offsets binary, body binary, n_body long, rest binary"
 
 
+def quoted(name: str) -> str:
+    """A column's name as part of an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def squeeze(x: np.ndarray | bytes) -> bytes:
     """Bytes, compressed."""
     return pa.compress(np.ascontiguousarray(x).data if isinstance(x, np.ndarray) and len(x) else bytes(x), codec="zstd", asbytes=True)
@@ -54,7 +59,6 @@ def pack(docs: DataFrame, body: str = "text") -> DataFrame:
     other = [c for c in docs.columns if c != body]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         k, held = 0, []
 
         def row(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -79,8 +83,8 @@ def pack(docs: DataFrame, body: str = "text") -> DataFrame:
         if held:
             yield row(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col(f"`{body}`").cast("string").alias("__body"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("__rest"))
-    return placed(rows.mapInArrow(run, BATCH_SCHEMA), "batch")
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col(quoted(body)).cast("string").alias("__body"), F.struct(*[F.col(quoted(c)) for c in other]).alias("__rest"))
+    return placed(rows.mapInArrow(tidy(run), BATCH_SCHEMA), "batch")
 
 
 def placed(df: DataFrame, key: str) -> DataFrame:

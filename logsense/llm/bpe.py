@@ -7,8 +7,8 @@ blocked scan with a multiplication table, and a text's first symbol is a constan
 don't touch. The slices between boundaries go through a cache of merged pairs.
 
 Defined cases: a null or empty text has no ids; equal texts give equal ids; an empty table gives no rows;
-other columns are kept where asked for; texts of any length are encoded whole, and long slices are merged
-with a heap.
+other columns are dropped; texts of up to 4 GB are encoded whole, and long slices are merged with a heap. Tokens
+keep their offsets, and decoding puts their bytes there.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logsense.llm.arrays import binaries, flat, lean, pieces
+from logsense.llm.arrays import binaries, flat, pieces, tidy
 from logsense.session import ship
 
 #: Entries after which a worker empties its cache of merged slices.
@@ -223,29 +224,35 @@ def encode_texts(data: np.ndarray, at: np.ndarray, get) -> list[bytes]:
     return [b"".join(map(get, slices[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
-    """doc_id, ids (binary: little-endian 32-bit) and, if asked for, offsets: each token's first byte in the text."""
+def token_offsets(ids: list[bytes], lens: np.ndarray) -> list[bytes]:
+    """First byte of each token in its text, as little-endian 32-bit integers like the ids."""
+    n = lens[np.frombuffer(b"".join(ids), "<u4")]
+    upto = np.cumsum(n)
+    first = upto - n
+    cut = np.cumsum([0, *(len(x) // 4 for x in ids)]).tolist()
+    return [(first[a:b] - first[a]).astype("<u4").tobytes() if a < b else b"" for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and offsets (binary: little-endian 32-bit), each token's first byte in the text, and the text's n_bytes."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         cache = _merged(path)
         lens = vocabulary(path)[2]
         for batch in batches:
             data, at = flat(batch.column("text"))
             for i, j in pieces(at, OUT):
-                ids = []
+                ids, offsets = [], []
                 for a, b in pieces(at[i : j + 1]):
                     own = at[i + a : i + b + 1]
-                    ids += encode_texts(data[own[0] : own[-1]], own - own[0], cache.__getitem__)
-                columns, names = [batch.column("doc_id").slice(i, j - i), binaries(ids)], ["doc_id", "ids"]
-                if offsets:
-                    of = lambda x: (np.cumsum(n := lens[np.frombuffer(x, "<u4")]) - n).astype("<u4").tobytes()
-                    columns, names = [*columns, binaries([of(x) for x in ids])], [*names, "offsets"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    part = encode_texts(data[own[0] : own[-1]], own - own[0], cache.__getitem__)
+                    ids += part
+                    offsets += token_offsets(part, lens)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), binaries(ids), binaries(offsets), pa.array(np.diff(at[i : j + 1]))], ["doc_id", "ids", "offsets", "n_bytes"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary" + ", offsets binary" * offsets)
+    kind = T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("ids", "binary").add("offsets", "binary").add("n_bytes", "long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), kind)
 
 
 @functools.lru_cache(maxsize=2)
@@ -259,29 +266,33 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(words), np.uint8), np.cumsum(lens) - lens, lens
 
 
-def decode_ids(ids: bytes, path: str) -> bytes:
-    """The bytes that ids (little-endian 32-bit) stand for, gathered through their offsets."""
+def decode_ids(ids: bytes, offsets: bytes, n_bytes: int, path: str) -> bytes:
+    """The text's bytes: each token's put where its offset says. Tokens must leave no byte out."""
     blob, first, lens = vocabulary(path)
-    k = np.frombuffer(ids, "<u4")
+    k, at = np.frombuffer(ids, "<u4"), np.frombuffer(offsets, "<u4").astype(np.int64)
     n = lens[k]
-    shift = first[k] - (np.cumsum(n) - n)
-    return blob[np.repeat(shift, n) + np.arange(n.sum())].tobytes()
+    if (n.sum(), len(at)) != (n_bytes, len(k)):
+        raise ValueError("ids, offsets and the text's length don't belong together")
+    within = np.arange(n_bytes) - np.repeat(np.cumsum(n) - n, n)
+    out = np.zeros(n_bytes, np.uint8)
+    out[np.repeat(at, n) + within] = blob[np.repeat(first[k], n) + within]
+    return out.tobytes()
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and the bytes they decode to."""
+    """doc_id, ids, offsets and the bytes they decode to."""
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         for batch in batches:
-            ids = batch.column("ids")
+            ids, offsets, n_bytes = (batch.column(c) for c in ("ids", "offsets", "n_bytes"))
             for i, j in pieces(flat(ids)[1], OUT):
-                part = ids.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), part, binaries([decode_ids(x.as_buffer(), path) for x in part])], ["doc_id", "ids", "decoded"])
+                rows = zip(ids.slice(i, j - i), offsets.slice(i, j - i), n_bytes.slice(i, j - i).to_pylist(), strict=True)
+                decoded = [decode_ids(x.as_buffer(), y.as_buffer(), n, path) for x, y, n in rows]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), ids.slice(i, j - i), offsets.slice(i, j - i), binaries(decoded)], ["doc_id", "ids", "offsets", "decoded"])
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+    kind = T.StructType().add("doc_id", encoded.schema["doc_id"].dataType).add("ids", "binary").add("offsets", "binary").add("decoded", "binary")
+    return encoded.mapInArrow(tidy(run), kind)
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:

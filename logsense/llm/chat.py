@@ -1,7 +1,8 @@
 """Chat formatting from a declarative template, with DataFrame functions only.
 
 A template names the roles with what stands before and after their text and whether their text is
-learned, the turns that each state of the automaton accepts, and the control strings. Control strings
+learned, the turns that each state of the automaton accepts, and the control strings. The automaton's steps
+judge the turns and emit the segments; a refused turn is emitted too, so no text is lost. Control strings
 inside a text are escaped with character references, so the text of a conversation can be read back.
 
 Defined cases: a null text is empty and a null role is the empty role; roles outside the template are
@@ -41,37 +42,52 @@ def unescape(text: Column, template: dict = TEMPLATE) -> Column:
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
-def _machine(turns: Column, template: dict) -> Column:
-    """Run the automaton over the turns: state after the last turn, and the first turn it refuses (or -1)."""
-    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("k"), F.lit(-1).alias("bad"))
+def _accepted(state: Column, role: Column, template: dict) -> Column:
+    """Whether a state's turns may have a role."""
+    ok = F.lit(False)
+    for name, roles in template["accepts"].items():
+        ok = ok | ((state == name) & role.isin(roles))
+    return ok
 
-    def step(acc: Column, t: Column) -> Column:
-        ok = F.lit(False)
-        for state, roles in template["accepts"].items():
-            ok = ok | ((acc["state"] == state) & t["role"].isin(roles))
-        bad = F.when(acc["bad"] >= 0, acc["bad"]).when(ok, F.lit(-1)).otherwise(acc["k"])
-        return F.struct(t["role"].alias("state"), (acc["k"] + 1).alias("k"), bad.alias("bad"))
 
-    return F.aggregate(turns, start, step)
+def run_machine(turns: Column, template: dict = TEMPLATE) -> Column:
+    """The automaton's step at every turn: role, text, whether the state before accepts it, and whether its text is learned.
+
+    The state after a turn is its role, so every step finds the state before it at the turn before: no step waits
+    for another, and a conversation of any length takes linear time.
+    """
+
+    def step(t: Column, i: Column) -> Column:
+        state = F.when(i == 0, F.lit("")).otherwise(F.get(turns, i - 1)["role"])
+        return F.struct(t["role"].alias("role"), t["text"].alias("text"), _accepted(state, t["role"], template).alias("accepted"), t["role"].isin(template["learned"]).alias("loss"))
+
+    return F.transform(turns, step)
+
+
+def emitted(steps: Column, template: dict = TEMPLATE) -> Column:
+    """The segments (text, loss) that the automaton's steps emit: mark, escaped text, mark."""
+    before, after = template["open"].split("{role}")
+    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+
+    def parts(s: Column) -> Column:
+        head = F.concat(F.lit(before), escape(s["role"], template), F.lit(after))
+        return F.array(piece(head, F.lit(False)), piece(escape(s["text"], template), s["loss"]), piece(F.lit(template["close"]), F.lit(False)))
+
+    return F.flatten(F.transform(steps, parts))
 
 
 def format_chats(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, text).
 
-    conv_id, segments (text, loss), formatted, valid, first_bad_turn (index, -1 if none).
+    conv_id, segments (text, loss), formatted, valid (all turns accepted, the last state final), first_bad_turn (index, -1 if none).
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    before, after = template["open"].split("{role}")
-
-    def parts(t: Column) -> Column:
-        piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        head = F.concat(F.lit(before), escape(t["role"], template), F.lit(after))
-        return F.array(piece(head, F.lit(False)), piece(escape(t["text"], template), t["role"].isin(template["learned"])), piece(F.lit(template["close"]), F.lit(False)))
-
-    convs = convs.select("conv_id", F.flatten(F.transform("turns", parts)).alias("segments"), _machine(F.col("turns"), template).alias("end"))
-    valid = (F.col("end.bad") < 0) & F.col("end.state").isin(template["final"])
-    return convs.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), valid.alias("valid"), F.col("end.bad").alias("first_bad_turn"))
+    convs = convs.select("conv_id", run_machine(F.col("turns"), template).alias("steps"))
+    convs = convs.select("conv_id", emitted(F.col("steps"), template).alias("segments"), F.transform("steps", lambda s: s["accepted"]).alias("accepted"), F.element_at("steps", -1)["role"].alias("state"))
+    bad = (F.array_position("accepted", False) - 1).cast("int")
+    valid = (bad < 0) & F.col("state").isin(template["final"])
+    return convs.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), valid.alias("valid"), bad.alias("first_bad_turn"))
 
 
 def read_turns(formatted: Column, template: dict = TEMPLATE) -> Column:
@@ -90,6 +106,6 @@ def read_turns(formatted: Column, template: dict = TEMPLATE) -> Column:
 
 def chat_digests(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """What a reader of format_chats() gets back: counts and digests of turns and of the learned text."""
-    x = formatted.select("conv_id", "formatted", read_turns(F.col("formatted"), template).alias("turns"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "").alias("learned"))
+    x = formatted.select("conv_id", "formatted", "valid", "first_bad_turn", read_turns(F.col("formatted"), template).alias("turns"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "").alias("learned"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return x.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return x.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "first_bad_turn")

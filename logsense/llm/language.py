@@ -5,16 +5,22 @@ all ways to cut it into entries, found by the forward algorithm; a text's is the
 and the languages' posterior under equal priors gives the prediction. The probabilities are learned by
 expectation maximisation with the forward and backward sums, on word counts of a bounded sample.
 
-Words are maximal runs of letters, in lower case, with a space before them as in the vocabulary. Runs of
-over 64 bytes are scored as consecutive words of 64 bytes.
+Words are maximal runs of letters, in lower case, with a space before them as in the vocabulary. A word of
+any length is summed over whole: the forward algorithm goes through it in blocks, carrying the sums that
+entries across the border need, scaled against underflow.
 
-Defined cases: a null text and a text without letters are `und` with score 0; a null lang teaches nothing,
-so do null ids' rows only if their lang is set; without any labelled row everything is `und`; equal texts
+Bounds of what is learned from (parameters): `sample` rows a language, about, of which the `most` most
+frequent words of up to `longest` bytes count; MODEL_BYTES for the table of probabilities, whose size
+is checked before it is broadcast.
+
+Defined cases: a null text and a text without letters are `und` with score 0; a null lang teaches nothing;
+rows with a null id aren't held out; without any labelled row everything is `und`; equal texts
 get equal predictions; ties go to the first language by code point; other columns are never read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,19 +28,27 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from logsense.llm.arrays import flat, lean, pieces
+from logsense.llm.arrays import flat, pieces, tidy
+from logsense.llm.batches import quoted
 from logsense.llm.bpe import read_ranks
-from logsense.llm.mixing import _bounded
 from logsense.session import checkpoint, ship
 
-#: Rows per language, about, that the probabilities are learned from.
-SAMPLE = 500
-ROUNDS, FLOOR, LONGEST, WORD_BYTES, CACHE = 4, 1e-6, 16, 64, 300_000
+#: Rows per language, about, that the probabilities are learned from; their most frequent words; bytes of a word.
+SAMPLE, MOST, LONGEST = 500, 20_000, 64
+ROUNDS, FLOOR, CACHE = 4, 1e-6, 100_000
+#: Bytes of a word that the forward algorithm takes at once: sums stay within a double's range for so long.
+BLOCK = 32
+#: Largest table of probabilities that is broadcast.
+MODEL_BYTES = 1 << 30
 #: Probabilities are held times this to the power of the bytes covered, against underflow.
 LIFT = 32.0
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 LETTERS = regex.compile(r"\p{L}+")
+#: What an entry inside a word may look like: ASCII letters in lower case and any other bytes, maybe after the space.
+IN_WORDS = re.compile(rb" ?[a-z\x80-\xff]*")
 
 
 def remainder(doc_id: Column) -> Column:
@@ -47,36 +61,44 @@ class Pieces:
 
     def __init__(self, entries: list[bytes]):
         self.n = len(entries)
+        self.longest = max(map(len, entries), default=1)
+        by_length: dict[int, list[int]] = {}
+        for k, e in enumerate(entries):
+            by_length.setdefault(len(e), []).append(k)
         self.by_length = {}
-        for length in range(1, LONGEST + 1):
-            own = [(k, e) for k, e in enumerate(entries) if len(e) == length]
-            if own:
-                chars = np.frombuffer(b"".join(e for _, e in own), np.uint8).reshape(-1, length)
-                hashes = self.hashed(chars)
-                order = np.argsort(hashes)
-                self.by_length[length] = hashes[order], np.array([k for k, _ in own], np.int32)[order]
+        for length, own in sorted(by_length.items()):
+            hashes = self.hashed(np.frombuffer(b"".join(entries[k] for k in own), np.uint8).reshape(-1, length))
+            order = np.argsort(hashes)
+            self.by_length[length] = hashes[order], np.array(own, np.int32)[order]
 
     @staticmethod
     def hashed(chars: np.ndarray) -> np.ndarray:
         """One hash for each row of bytes."""
-        h = np.full(len(chars), chars.shape[1], np.uint64)
+        h = np.zeros(len(chars), np.uint64)
         for c in chars.T:
-            h = (h ^ c) * _MULT
-            h ^= h >> np.uint64(29)
+            h = Pieces.longer(h, c)
         return h
 
-    def spans(self, chars: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Start and length to the entry there in each row, or n where there is none."""
+    @staticmethod
+    def longer(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Hashes of strings, each a byte longer."""
+        h = (h ^ (c + np.uint64(1))) * _MULT
+        return h ^ (h >> np.uint64(29))
+
+    def spans(self, chars: np.ndarray, first: int = 0) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """End and length to the rows that have an entry there, and the entries; ends after `first`."""
         m, width = chars.shape
         out = {}
         for i in range(width):
-            h = {}
-            for length, (hashes, numbers) in self.by_length.items():
-                if i + length > width:
-                    break
-                h = self.hashed(chars[:, i : i + length])
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                out[i, length] = np.where(hashes[at] == h, numbers[at], self.n)
+            h = np.zeros(m, np.uint64)
+            for length in range(1, min(self.longest, width - i) + 1):
+                h = self.longer(h, chars[:, i + length - 1])
+                if i + length > first and length in self.by_length:
+                    hashes, numbers = self.by_length[length]
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    rows = np.flatnonzero(hashes[at] == h)
+                    if len(rows):
+                        out[i + length, length] = rows, numbers[at[rows]]
         return out
 
 
@@ -90,23 +112,33 @@ def by_width(words: list[bytes], most: int = 4096) -> Iterator[tuple[np.ndarray,
             yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(-1, width)
 
 
-def forward(chars: np.ndarray, spans: dict, prob: np.ndarray) -> np.ndarray:
-    """Sums over segmentations of each row's prefixes: (width + 1, rows, languages), lifted."""
-    m, width = chars.shape
-    sums = np.zeros((width + 1, m, prob.shape[1]))
-    sums[0] = 1
-    for end in range(1, width + 1):
-        for length in range(1, min(end, LONGEST) + 1):
-            if (at := spans.get((end - length, length))) is not None:
-                sums[end] += sums[end - length] * prob[at] * LIFT**length
-    return sums
+def forward(spans: dict, sums: np.ndarray, first: int, prob: np.ndarray) -> None:
+    """Fill the sums over segmentations of each row's prefixes, (width + 1, rows, languages), lifted, after `first`."""
+    for end, length in sorted(spans):
+        rows, k = spans[end, length]
+        if length <= end and end > first:
+            sums[end, rows] += sums[end - length, rows] * prob[k] * LIFT**length
 
 
-def word_scores(words: list[bytes], pieces_: Pieces, prob: np.ndarray) -> np.ndarray:
+def word_scores(words: list[bytes], pieces_: Pieces, prob: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Log probability of each word in each language; prob has a last row of zeros."""
     out = np.zeros((len(words), prob.shape[1]))
+    back = pieces_.longest
     for at, chars in by_width(words):
-        out[at] = np.log(forward(chars, pieces_.spans(chars), prob)[-1]) - chars.shape[1] * np.log(LIFT)
+        m, width = chars.shape
+        sums, scale = np.ones((1, m, prob.shape[1])), np.zeros((m, prob.shape[1]))
+        for start in range(0, width, block):
+            own = chars[:, start - (len(sums) - 1) : start + block]  # with the bytes that the sums carried over end at
+            before = len(sums) - 1
+            sums = np.concatenate([sums, np.zeros((own.shape[1] - before, *sums.shape[1:]))])
+            forward(pieces_.spans(own, before), sums, before, prob)
+            sums = sums[-(back + 1) :]
+            most = sums.max(0)
+            with np.errstate(divide="ignore"):
+                scale += np.log(most)
+            sums = sums / np.where(most > 0, most, 1)
+        with np.errstate(divide="ignore"):
+            out[at] = np.log(sums[-1]) + scale - width * np.log(LIFT)
     return out
 
 
@@ -118,17 +150,22 @@ def learn(words: list[bytes], counts: np.ndarray, entries: list[bytes], rounds:
     for _ in range(rounds):
         expected = np.zeros_like(prob)
         for at, chars, spans in cut:
-            sums, width = forward(chars, spans, prob), chars.shape[1]
+            m, width = chars.shape
+            sums = np.zeros((width + 1, m, counts.shape[1]))
+            sums[0] = 1
+            forward(spans, sums, 0, prob)
             back = np.zeros_like(sums)
             back[width] = counts[at] / sums[width]
-            for i in range(width - 1, -1, -1):
-                for length in range(1, min(width - i, LONGEST) + 1):
-                    if (k := spans.get((i, length))) is not None:
-                        p = prob[k] * LIFT**length * back[i + length]
-                        back[i] += p
-                        use = sums[i] * p
-                        for c in range(use.shape[1]):
-                            expected[:, c] += np.bincount(k, use[:, c], n + 1)
+            used, how_often = [], []
+            for end, length in sorted(spans, reverse=True):
+                rows, k = spans[end, length]
+                p = prob[k] * LIFT**length * back[end, rows]
+                back[end - length, rows] += p
+                used.append(k)
+                how_often.append(sums[end - length, rows] * p)
+            k, use = np.concatenate(used), np.concatenate(how_often)
+            for c in range(use.shape[1]):
+                expected[:, c] += np.bincount(k, use[:, c], n + 1)
         expected[n] = 0
         prob = (expected + 0.02) / (expected.sum(0) + 0.02 * n)
         prob[:n] = np.maximum(prob[:n], FLOOR)
@@ -136,60 +173,61 @@ def learn(words: list[bytes], counts: np.ndarray, entries: list[bytes], rounds:
     return prob
 
 
-def chunks(word: str) -> list[bytes]:
-    """A word's bytes with a space before them, in parts of bounded length."""
-    raw = b" " + word.encode()
-    return [raw[i : i + WORD_BYTES] for i in range(0, len(raw), WORD_BYTES)]
+def spaced(word: str) -> bytes:
+    """A word's bytes with a space before them."""
+    return b" " + word.encode()
 
 
-def train(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, list[bytes]]:
-    """Languages, probabilities and entries, from about `sample` rows a language that aren't held out."""
+def train(docs: DataFrame, path: str, sample: int = SAMPLE, most: int = MOST, longest: int = LONGEST) -> tuple[list[str], np.ndarray, list[bytes]]:
+    """Languages, probabilities and entries, from the words of about `sample` rows a language that aren't held out."""
     labelled = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 2)).select("doc_id", "text", "lang")
-    n = _bounded(checkpoint(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))))
+    entries = sorted(e for e in read_ranks(path) if IN_WORDS.fullmatch(e))  # no other occurs in a word
+    n = checkpoint(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if (m := n.count()) * 8 * (len(entries) + 1) > MODEL_BYTES:
+        raise ValueError(f"the model of {m} languages is larger than {MODEL_BYTES} bytes")
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
-    chosen = labelled.join(n.select(F.col("lang").alias("l"), "n"), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    chosen = labelled.join(F.broadcast(n.select(F.col("lang").alias("l"), "n")), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word"))
-    rows = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    words = words.where(F.octet_length("word") < longest).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    rows = words.withColumn("rank", rank).where(F.col("rank") <= most).toPandas()  # at most `most` a language
     langs = sorted(rows["lang"].unique())
     index: dict[bytes, int] = {}
-    where, lang_no = [], {x: k for k, x in enumerate(langs)}
-    for lang, word, k in zip(rows["lang"], rows["word"], rows["n"], strict=True):
-        where += [(index.setdefault(part, len(index)), lang_no[lang], k) for part in chunks(word)]
+    lang_no = {x: k for k, x in enumerate(langs)}
+    i = [index.setdefault(spaced(w), len(index)) for w in rows["word"]]
     counts = np.zeros((len(index), len(langs)))
-    if where:
-        i, c, k = np.array(where).T
-        np.add.at(counts, (i, c), k)
-    entries = sorted(e for e in read_ranks(path) if len(e) <= LONGEST)
+    if i:
+        np.add.at(counts, (i, [lang_no[x] for x in rows["lang"]]), rows["n"].to_numpy())
     return langs, learn(list(index), counts, entries), entries
 
 
 class Scores(dict):
-    """Word part to its row in a table of scores; keeps the rows to be computed."""
+    """Word to its row in a table of scores; keeps the rows to be computed."""
 
     def __init__(self, pieces_: Pieces, prob: np.ndarray):
         super().__init__()
-        self.pieces, self.prob, self.todo = pieces_, prob, []
+        self.pieces, self.prob, self.todo, self.n = pieces_, prob, [], 0
         self.table = np.zeros((0, prob.shape[1]))
 
     def __missing__(self, word: str) -> int:
         k = self[word] = len(self)
-        self.todo.append(word)
+        self.todo.append(spaced(word))
         return k
 
     def rows(self) -> np.ndarray:
         """The table with a row for every word asked for."""
         if self.todo:
-            parts = [(k, p) for k, w in enumerate(self.todo) for p in chunks(w)]
-            new = np.zeros((len(self.todo), self.prob.shape[1]))
-            np.add.at(new, [k for k, _ in parts], word_scores([p for _, p in parts], self.pieces, self.prob))
-            self.table, self.todo = np.vstack([self.table, new]), []
+            if len(self) > len(self.table):
+                self.table = np.concatenate([self.table[: self.n], np.zeros((len(self) * 2 - self.n, self.table.shape[1]))])
+            self.table[self.n : len(self)] = word_scores(self.todo, self.pieces, self.prob)
+            self.n, self.todo = len(self), []
         return self.table
 
     def trim(self) -> None:
         """Start anew beyond a fixed size."""
         if len(self) > CACHE:
             self.clear()
-            self.table = self.table[:0]
+            self.n = 0
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[bytes]]) -> DataFrame:
@@ -200,7 +238,6 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[bytes]])
     shared = spark.sparkContext.broadcast((langs, prob, entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         langs, prob, entries = shared.value
         scores = Scores(Pieces(entries), prob)
         find, get = LETTERS.findall, scores.__getitem__
@@ -223,9 +260,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[bytes]])
             keep = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").cast("string").alias("__text"))
-    kind = rows.schema["__row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__row {kind}, lang_pred string, score double")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__row"), F.col("text").cast("string").alias("__text"))
+    kind = T.StructType().add("__row", rows.schema["__row"].dataType).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(tidy(run), kind)
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
@@ -237,4 +274,4 @@ def predict(docs: DataFrame, model) -> DataFrame:
 def known(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
     """The documents with letters whose language is likelier than `least`, with their own columns."""
     x = identify(docs, model)
-    return x.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+    return x.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -28,9 +28,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logsense.llm.arrays import binaries, lean
-from logsense.llm.batches import NO_ID, ROW_BITS, Batch, bucket_count, expand, pack, squeeze, unpack
+from logsense.llm.arrays import binaries, tidy, tidy_group
+from logsense.llm.batches import NO_ID, ROW_BITS, Batch, bucket_count, expand, pack, quoted, squeeze, unpack
 from logsense.llm.substrings import _MULT, NO_BOUND, _repeated_anchors, by_bucket, mix, no_rest, range_hashes
 from logsense.session import checkpoint
 
@@ -302,7 +303,7 @@ def _each(batches: DataFrame, f: Callable[[dict, Batch], list[tuple]], schema: s
                 columns = zip(*rows, strict=True) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return (batches if rest else no_rest(batches)).mapInArrow(run, schema)
+    return (batches if rest else no_rest(batches)).mapInArrow(tidy(run), schema)
 
 
 def describe(batches: DataFrame, rule: Rule) -> DataFrame:
@@ -330,7 +331,7 @@ def _rows(described: DataFrame, names: list[str], out: str, numbered: bool) -> D
                     columns = [(frame.column("batch")[i].as_py() << ROW_BITS) + np.arange(len(columns[0])), *columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], out.split())
 
-    return described.select("batch", *names).mapInArrow(run, ", ".join(f"{x} long" for x in out.split()))
+    return described.select("batch", *names).mapInArrow(tidy(run), ", ".join(f"{x} long" for x in out.split()))
 
 
 def _per_batch(rows: DataFrame, *extra: str) -> DataFrame:
@@ -389,7 +390,6 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
     parts = int(max(8, total // group))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        lean()
         out = [pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})]
         for _, own in pdf.groupby("comp"):
             own = own.sort_values("row")
@@ -398,7 +398,7 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
         return pd.concat(out)
 
     small = small.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(parts)).cast("int")).select("part", "comp", "row", "grams")
-    links = small.groupBy("part").applyInPandas(within, "u long, v long")
+    links = small.groupBy("part").applyInPandas(tidy_group(within), "u long, v long")
 
     # Components beyond one group: all against the component's first set, then the rest as queries in blocks.
     first = big.where(F.col("row") == F.col("comp")).select("comp", F.col("grams").alias("lead"))
@@ -411,7 +411,7 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
                 hit.append(bool(rule.links(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
             yield pdf[["comp", "row", "n", "weight", "grams"]].assign(linked=hit)
 
-    seen = checkpoint(big.join(first, "comp").mapInPandas(against_first, "comp long, row long, n long, weight long, grams binary, linked boolean"))
+    seen = checkpoint(big.join(first, "comp").mapInPandas(tidy(against_first), "comp long, row long, n long, weight long, grams binary, linked boolean"))
     links = links.unionByName(seen.where("linked and row <> comp").select(F.col("row").alias("u"), F.col("comp").alias("v")))
     rest = seen.where("not linked")
 
@@ -421,7 +421,7 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
             return pd.DataFrame({"comp": pdf["comp"].iloc[:1], "rows": [pdf["row"].to_numpy("<i8").tobytes()], "linked": [pdf["linked"].to_numpy(bool).tobytes()], "sizes": [pdf["n"].to_numpy("<i8").tobytes()], "all_grams": [b"".join(pdf["grams"])]})
 
         blocks = F.greatest(F.lit(1), F.floor(F.col("weight") / F.lit(group))).cast("long")
-        return rows.withColumn("block", F.pmod(F.xxhash64("row"), blocks)).groupBy("comp", "block").applyInPandas(pack_sets, "comp long, rows binary, linked binary, sizes binary, all_grams binary")
+        return rows.withColumn("block", F.pmod(F.xxhash64("row"), blocks)).groupBy("comp", "block").applyInPandas(tidy_group(pack_sets), "comp long, rows binary, linked binary, sizes binary, all_grams binary")
 
     asked = packed(rest.join(rest.groupBy("comp").agg(F.sum("n").alias("own")), "comp").withColumn("weight", F.col("own")).drop("own"))
     pairs = packed(seen).join(asked.select("comp", F.col("rows").alias("q_rows"), F.col("sizes").alias("q_sizes"), F.col("all_grams").alias("q_grams")), "comp")
@@ -448,7 +448,7 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
                         found.join(int(place[k]), int(y))
                 yield _star(nodes, found.roots())
 
-    return links.unionByName(pairs.mapInPandas(blocks_against, "u long, v long"))
+    return links.unionByName(pairs.mapInPandas(tidy(blocks_against), "u long, v long"))
 
 
 def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int = GROUP) -> DataFrame:
@@ -477,7 +477,7 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
         return [(r["batch"], x, k[i:j].astype("<u4").tobytes(), np.packbits(several[i:j]).tobytes()) for x, i, j in by_bucket((k >> np.uint64(32)).astype(np.int64))]
 
     chosen = batches.join(of_classes, "batch")
-    repeated = _each(chosen, keys, "batch long, bucket int, keys binary, several binary").groupBy("bucket").applyInPandas(_repeated_anchors, "batch long, bucket int, reply binary")
+    repeated = _each(chosen, keys, "batch long, bucket int, keys binary, several binary").groupBy("bucket").applyInPandas(tidy_group(_repeated_anchors), "batch long, bucket int, reply binary")
     repeated = repeated.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
 
     def postings(r: dict, b: Batch) -> list[tuple]:
@@ -489,12 +489,11 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
     lists = _each(batches.join(of_classes.join(repeated, "batch"), "batch"), postings, "wide int, n_grams long, n_sets long, n_body long, body binary")
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        lean()
         key, doc, place, row, n, words_ = _read_postings(pdf)
         rows, at = np.unique(row, return_index=True)
         return _star(rows, candidate_links(key, np.searchsorted(rows, row[doc]), place, n[at], Maps(words_, n, at), rule))
 
-    edges = lists.groupBy("wide").applyInPandas(candidates, "u long, v long")
+    edges = lists.groupBy("wide").applyInPandas(tidy_group(candidates), "u long, v long")
     found = components(edges)
     members = checkpoint(found.select(F.col("node").alias("row"), F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("row"), F.col("root").alias("comp")).distinct()))
     weights = members.join(classes.select(F.col("first").alias("row"), "n"), "row").groupBy("comp").agg(F.sum("n").alias("weight"))
@@ -526,7 +525,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     batches = pack(docs)
     x = similar_sets(batches, words, num, den, group)
     keep = x.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("k")).select(F.col("k.row").alias("row"))
-    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("r")).schema["r"].dataType.simpleString()
+    row = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("r")).schema["r"].dataType
 
     def rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -537,5 +536,5 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
                 body = [b.data[b.at[k] : b.at[k + 1]].tobytes() for k in at]
                 yield pa.RecordBatch.from_arrays([b.rest.column("__rest").take(pa.array(at)), binaries(body)], ["row", "text"])
 
-    kept = batches.join(_per_batch(keep), "batch").mapInArrow(rows, f"row {kind}, text binary")
-    return kept.select(*[(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"row.`{c}`")) for c in docs.columns])
+    kept = batches.join(_per_batch(keep), "batch").mapInArrow(tidy(rows), T.StructType().add("row", row).add("text", "binary"))
+    return kept.select(*[(F.col("text").cast("string").alias("text") if c == "text" else F.col("row")[c].alias(c)) for c in docs.columns])

@@ -50,16 +50,20 @@ def _sql_escape(x: str) -> str:
     return out
 
 
+_ACCEPTED = " OR ".join(f"state = '{k}' AND role IN ({', '.join(repr(r) for r in v)})" for k, v in TEMPLATE["accepts"].items())
 ORACLES["op4_chat_format"] = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+steps AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(lag(role) OVER w, '') AS state FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length({_sql_escape('role')}) + length({_sql_escape('text')}) + {len(TEMPLATE['open'].format(role='') + TEMPLATE['close'])})::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id
+  sum(length({_sql_escape('role')}) + length({_sql_escape('text')}) + {len(TEMPLATE['open'].format(role='') + TEMPLATE['close'])})::BIGINT AS formatted_chars,
+  coalesce(min(k) FILTER (NOT ({_ACCEPTED})), -1) < 0 AND arg_max(role, k) IN ({', '.join(repr(r) for r in TEMPLATE['final'])}) AS valid,
+  coalesce(min(k) FILTER (NOT ({_ACCEPTED})), -1)::INT AS first_bad_turn
+FROM steps GROUP BY conv_id
 """
 
 
@@ -86,10 +90,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 
 
 ORACLES["op8_exact_topk"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id ASC NULLS LAST)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM best WHERE rank <= 20
 """

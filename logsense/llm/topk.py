@@ -3,14 +3,16 @@
 Candidates are packed into blocks of bounded size, each with its vectors and, for every dimension, the
 list of its rows sorted by value. A query goes down all lists at once, from the end that its sign makes
 best, scores every row it meets in full, and stops when the scores at the current depth cannot beat its
-kth result. Queries are packed too; each pair of a query block and a candidate block is one row of a join,
-and the best of all blocks are ranked per query at the end.
+kth result. Queries are packed too. Each searches one block first; its kth score there goes with it to all
+others, where it stops sooner and returns only what may still be among its k best. The best of all blocks
+are ranked per query at the end.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a query is only
-compared with vectors of its own length; rows with a query's own vec_id are its own row, and rows without
-a vec_id take no part; each stored row counts, so that copies of a candidate or a query give a result for
-each pair of rows; ties go to the smaller vec_id; fewer candidates than k give fewer results; an empty table
-gives no rows; other columns are ignored. Copies are counted before packing and told apart again at the end.
+compared with vectors of its own length; every row but the query's own is a candidate, be it a copy of the
+query, of the same vec_id, or without one; a query stored several times has its results as often; ties go to
+the smaller vec_id, null last; a score beyond a long's range counts as the nearest long; fewer candidates
+than k give fewer results; an empty table gives no rows; other columns are ignored. Copies (equal vec_id and
+vector) are counted before packing and told apart again at the end.
 """
 
 from __future__ import annotations
@@ -19,24 +21,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logsense.llm.arrays import tidy, tidy_group
 from logsense.session import checkpoint, ship
 
-CANDIDATES, QUERIES_AT_ONCE, SCALE = 8192, 1024, 64
+CANDIDATES, QUERIES_AT_ONCE, SCALE = 4096, 512, 64
+#: Partitions at most over which blocks are dealt.
+MOST_PARTS = 20_000
+_LONG = np.iinfo(np.int64)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id and its vector as doubles, of the rows that take part."""
-    x = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    x = vectors.where(F.col("embedding").isNotNull()).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     return x.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
 
 
 def counted(vectors: DataFrame) -> DataFrame:
-    """Distinct vec_id and x with the number of their rows, so that copies don't take places among a block's best."""
-    return vectors.groupBy("vec_id", "x").agg(F.count(F.lit(1)).alias("copies"))
+    """Distinct vec_id and x with the number of their rows and a key, so that copies don't take places among a block's best."""
+    x = vectors.groupBy("vec_id", "x").agg(F.count(F.lit(1)).alias("copies"))
+    return x.withColumns({"key": F.xxhash64("vec_id", "x"), "dim": F.size("x")})
 
 
 def exact_kind(rows: np.ndarray, others: np.ndarray) -> type:
@@ -46,86 +54,123 @@ def exact_kind(rows: np.ndarray, others: np.ndarray) -> type:
 
 
 def packed(vectors: DataFrame, size: int, n: int, lists: bool) -> DataFrame:
-    """Blocks of about `size` vectors of one length: block, dim, ids, copies, values and sorted lists as bytes."""
+    """Blocks of about `size` vectors of one length: block, dim, ids, no_id, keys, copies, values and sorted lists as bytes."""
     blocks = max(1, -(-n // size))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         values = np.floor(SCALE * np.stack(pdf["x"].to_numpy()))
         order = np.argsort(values, axis=0, kind="stable").T.astype("<u4").tobytes() if lists else b""
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "copies": [pdf["copies"].to_numpy("<i8").tobytes()], "vals": [values.astype("<f8").tobytes()], "lists": [order]})
-
-    x = vectors.select("vec_id", "x", "copies", F.size("x").alias("dim"), F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("block"))
-    return x.groupBy("block", "dim").applyInPandas(pack, "block int, dim int, ids binary, copies binary, vals binary, lists binary")
-
-
-def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, asc: np.ndarray, sorted_values: np.ndarray, k: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the k best rows; asc and sorted_values: lists by dimension, least value first."""
-    n = len(ids)
-    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-    seen[:] = ids == own
-    found, scores = np.zeros(0, np.int64), np.zeros(0, rows.dtype)
-    done, depth = 0, max(16, 2 * k)
-    while True:
-        depth = min(depth, n)
-        before = seen.copy()
-        seen[asc[up, n - depth : n - done]] = True
-        seen[asc[down, done:depth]] = True
-        if not len(up) and not len(down):
-            seen[:] = True
-        fresh = np.flatnonzero(seen & ~before & (ids != own))
-        if len(fresh):
-            found, scores = np.concatenate([found, fresh]), np.concatenate([scores, rows[fresh] @ query])
-            best = np.lexsort((ids[found], -scores))[:k] if scores.dtype == object or len(scores) <= 4 * k else _best(scores, ids[found], k)
-            found, scores = found[best], scores[best]
-        if depth == n or seen.all():
-            break
-        bound = query[up] @ sorted_values[up, n - depth] + query[down] @ sorted_values[down, depth - 1]
-        if len(found) == k and bound < scores[-1]:
-            break
-        done, depth = depth, depth * 3
-    return found, scores
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-    near = np.flatnonzero(scores >= kth)
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
-
-
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best among all other vectors. Queries: ids divisible by `every`."""
-    ship(vectors.sparkSession)
-    vectors = valid(vectors)
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n, n_queries = vectors.count(), queries.count()
-    index = checkpoint(packed(counted(vectors), CANDIDATES, n, True))
-    asked = packed(counted(queries), QUERIES_AT_ONCE, n_queries, False).select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("vals").alias("q_vals"))
-    asked = asked.withColumn("for_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // CANDIDATES)) - 1))))
-    pairs = index.join(asked, (F.col("block") == F.col("for_block")) & (F.col("dim") == F.col("q_dim")))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                ids, q_ids, copies, q_copies = (np.frombuffer(v, "<i8") for v in (r.ids, r.q_ids, r.copies, r.q_copies))
-                rows = np.frombuffer(r.vals, "<f8").reshape(len(ids), r.dim)
-                asc = np.frombuffer(r.lists, "<u4").reshape(r.dim, len(ids)).astype(np.int64)
-                asked = np.frombuffer(r.q_vals, "<f8").reshape(len(q_ids), r.dim)
+        raw = {"ids": pdf["vec_id"].fillna(0).to_numpy("<i8"), "no_id": pdf["vec_id"].isna().to_numpy(bool), "keys": pdf["key"].to_numpy("<i8"), "copies": pdf["copies"].to_numpy("<i8"), "vals": values.astype("<f8")}
+        return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "dim": pdf["dim"].iloc[:1].to_numpy(), **{k: [v.tobytes()] for k, v in raw.items()}, "lists": [order]})
+
+    x = vectors.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
+    return x.groupBy("block", "dim").applyInPandas(tidy_group(pack), "block int, dim int, ids binary, no_id binary, keys binary, copies binary, vals binary, lists binary")
+
+
+class Block:
+    """Candidates of one block; ties: their order among equal scores; met: rows that the last search met."""
+
+    def __init__(self, ids: np.ndarray, no_id: np.ndarray, rows: np.ndarray, asc: np.ndarray):
+        self.rows, self.asc, self.n, self.met = rows, asc, len(ids), 0
+        self.ties = np.empty(len(ids), np.int64)
+        self.ties[np.lexsort((ids, no_id))] = np.arange(len(ids))
+        self.in_order = np.take_along_axis(rows.T, asc, 1)
+
+    def search(self, query: np.ndarray, own: np.ndarray, k: int, least=None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best rows, without the places `own` and without scores below `least`."""
+        n = self.n
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        seen = np.zeros(n, bool)
+        seen[own] = True
+        found, scores = np.zeros(0, np.int64), np.zeros(0, self.rows.dtype)
+        done, depth = 0, max(16, 2 * k)
+        while True:
+            depth = min(depth, n)
+            before = seen.copy()
+            seen[self.asc[up, n - depth : n - done]] = True
+            seen[self.asc[down, done:depth]] = True
+            if not len(up) and not len(down):
+                seen[:] = True
+            fresh = np.flatnonzero(seen & ~before)
+            if len(fresh):
+                new = self.rows[fresh] @ query
+                if new.dtype == object:
+                    new = np.array([min(max(int(v), int(_LONG.min)), int(_LONG.max)) for v in new], object)
+                if least is not None:
+                    fresh, new = fresh[new >= least], new[new >= least]
+                found, scores = np.concatenate([found, fresh]), np.concatenate([scores, new])
+                if len(scores) > k and scores.dtype != object:
+                    near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+                    found, scores = found[near], scores[near]
+                best = np.lexsort((self.ties[found], -scores))[:k]
+                found, scores = found[best], scores[best]
+            if depth == n or seen.all():
+                break
+            bound = query[up] @ self.in_order[up, n - depth] + query[down] @ self.in_order[down, depth - 1]
+            if len(found) == k and bound < scores[-1] or least is not None and bound < least:
+                break
+            done, depth = depth, depth * 3
+        self.met = int(seen.sum())
+        return found, scores
+
+
+def _searched(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, q_key, vec_id, score, copies: what each query finds in each block that it is joined with."""
+
+    def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for i in range(len(frame)):
+                r = frame.slice(i, 1).to_pylist()[0]
+                ids, keys, copies, q_ids, q_keys = (np.frombuffer(r[c], "<i8") for c in ("ids", "keys", "copies", "q_ids", "q_keys"))
+                no_id, least = np.frombuffer(r["no_id"], bool), dict(r["least"] or ())
+                rows, asked = (np.frombuffer(r[c], "<f8").reshape(m, r["dim"]) for c, m in (("vals", len(ids)), ("q_vals", len(q_ids))))
+                asc = np.frombuffer(r["lists"], "<u4").reshape(r["dim"], len(ids)).astype(np.int64)
                 kind = exact_kind(rows, asked)
                 if kind is object:
                     rows, asked = (np.array([[int(v) for v in x] for x in m], object).reshape(m.shape) for m in (rows, asked))
                 else:
                     rows, asked = rows.astype(kind), asked.astype(kind)
-                in_order, seen = np.take_along_axis(rows.T, asc, 1), np.zeros(len(ids), bool)
-                out = []
-                for own, times, q in zip(q_ids.tolist(), q_copies.tolist(), asked, strict=True):
-                    got, scores = threshold_search(q, own, ids, rows, asc, in_order, k, seen)
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[got], "score": scores.astype(np.int64), "copies": times * copies[got]}))
-                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copies": []})
-
-    found = pairs.select("ids", "copies", "vals", "lists", "dim", "q_ids", "q_copies", "q_vals").mapInPandas(search, "query_id long, vec_id long, score long, copies long")
-    found = found.groupBy("query_id", "vec_id", "score").agg(F.sum("copies").alias("copies"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                block, out = Block(ids, no_id, rows, asc), []
+                for q_id, q_key, q in zip(q_ids.tolist(), q_keys.tolist(), asked, strict=True):
+                    own = np.flatnonzero((keys == q_key) & (ids == q_id) & ~no_id)
+                    got, scores = block.search(q, own[copies[own] == 1], k, least.get(q_key))
+                    out.append((np.full(len(got), q_id), np.full(len(got), q_key), ids[got], no_id[got], np.array(scores, np.int64), copies[got] - np.isin(got, own)))
+                q_id, q_key, vec_id, none, score, n = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(q_key), pa.array(vec_id, mask=none), pa.array(score), pa.array(n)], ["query_id", "q_key", "vec_id", "score", "copies"])
+
+    return pairs.mapInArrow(tidy(search), "query_id long, q_key long, vec_id long, score long, copies long")
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best among all other rows. Queries: ids divisible by `every`."""
+    ship(vectors.sparkSession)
+    rows = checkpoint(counted(valid(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))))
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    n, n_queries = rows.count(), queries.count()
+    blocks = max(1, -(-n // CANDIDATES))
+    parts = min(blocks, MOST_PARTS)
+    index = checkpoint(packed(rows, CANDIDATES, n, True).repartition(parts, "block"))
+    asked = packed(queries, QUERIES_AT_ONCE, n_queries, False).select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("vals").alias("q_vals"))
+    asked = checkpoint(asked)
+    first = F.pmod("q_block", F.lit(blocks))  # the block that a query block searches first
+
+    def pairs(asked: DataFrame) -> DataFrame:
+        dealt = asked.repartition(parts, "for_block")
+        return index.repartition(parts, "block").join(dealt, (F.col("block") == F.col("for_block")) & (F.col("dim") == F.col("q_dim")))
+
+    begun = checkpoint(_searched(pairs(asked.withColumn("for_block", first).withColumn("least", F.lit(None).cast("map<bigint,bigint>"))), k))
+    # k rows of equal or greater score are known for a query: nothing below the least of them is among its best
+    known = begun.groupBy("query_id", "q_key").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("found")).where(F.col("found") >= k)
+    own = known.withColumn("q_block", F.pmod("q_key", F.lit(max(1, -(-n_queries // QUERIES_AT_ONCE)))).cast("int"))
+    own = own.groupBy("q_block").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("q_key", "least")))).alias("least"))
+    rest = asked.join(own, "q_block", "left").withColumn("for_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("for_block") != first)
+    found = begun.unionByName(_searched(pairs(rest), k))
+    found = found.groupBy("query_id", "q_key", "vec_id", "score").agg(F.sum("copies").alias("copies"))
+    w = Window.partitionBy("query_id", "q_key").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     best = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
     best = best.withColumn("before", F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")).where(F.col("before") < k)
     ranks = F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("copies"), F.lit(k)))
-    return best.select("query_id", F.explode(ranks.cast("array<int>")).alias("rank"), "vec_id", "score")
+    best = best.select("query_id", "q_key", F.explode(ranks.cast("array<int>")).alias("rank"), "vec_id", "score")
+    several = queries.where("copies > 1").select(F.col("vec_id").alias("query_id"), F.col("key").alias("q_key"), "copies")
+    times = F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1)))
+    return best.join(several, ["query_id", "q_key"], "left").select("query_id", "rank", "vec_id", "score", F.explode(times).alias("__copy")).drop("__copy")

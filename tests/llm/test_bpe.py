@@ -48,7 +48,16 @@ def test_random_texts(own):
 @given(st.lists(st.text(st.characters(exclude_categories=("Cs", "Cn")), max_size=40), max_size=4))
 def test_round_trip(texts):
     for t, ids in zip(texts, ids_of(texts), strict=True):
-        assert bpe.decode_ids(np.array(ids, "<u4").tobytes(), PATH) == t.encode()
+        raw = np.array(ids, "<u4").tobytes()
+        (offsets,) = bpe.token_offsets([raw], bpe.vocabulary(PATH)[2])
+        assert bpe.decode_ids(raw, offsets, len(t.encode()), PATH) == t.encode()
+
+
+def test_decoding_goes_by_offsets():
+    raw = np.array([64, 65, 66], "<u4").tobytes()  # one byte each
+    assert bpe.decode_ids(raw, np.array([2, 0, 1], "<u4").tobytes(), 3, PATH) == bpe.decode_ids(np.array([65, 66, 64], "<u4").tobytes(), np.array([0, 1, 2], "<u4").tobytes(), 3, PATH)
+    with pytest.raises(ValueError, match="belong together"):
+        bpe.decode_ids(raw, np.array([0, 1, 2], "<u4").tobytes(), 4, PATH)
 
 
 def test_frames(spark, own):
@@ -61,6 +70,6 @@ def test_frames(spark, own):
         assert np.frombuffer(ids, "<u4").tolist() == want
         raw, at = (t or "").encode(), np.frombuffer(offsets, "<u4").tolist()
         assert b"".join(raw[a:b] for a, b in zip(at, [*at, len(raw)][1:], strict=True)) == raw
-    d = bpe.digests(bpe.encode(docs, PATH, offsets=False), PATH).where("doc_id = 8").first()
+    d = bpe.digests(bpe.encode(docs, PATH), PATH).where("doc_id = 8").first()
     assert d.decoded_sha256 == hashlib.sha256(HARD[8].encode()).hexdigest() and d.n_tokens == len(own.encode_ordinary(HARD[8]))
     assert bpe.digests(bpe.encode(docs.limit(0), PATH), PATH).count() == 0

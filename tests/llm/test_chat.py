@@ -42,3 +42,11 @@ def test_ties_nulls_and_empty(spark):
 def test_no_python_in_plan(spark):
     plan = chat.chat_digests(chat.format_chats(rows_of(spark, {0: [("user", "a")]})))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    optimized = plan[plan.index("== Optimized Logical Plan") :]
+    assert "accepted" in optimized and "first_bad_turn" in optimized  # the automaton isn't pruned
+
+
+def test_long_conversation(spark):
+    rows = spark.range(30_000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "'t' text")
+    r = chat.chat_digests(chat.format_chats(rows)).first()
+    assert (r.n_turns, r.loss_chars, r.valid, r.first_bad_turn) == (30_000, 15_000, True, -1)

@@ -1,7 +1,9 @@
 """Language identification: forward sums against enumeration, held-out accuracy, odd rows."""
 
 import itertools
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -26,10 +28,36 @@ def test_forward_sums():
     entries = [b"a", b"b", b" ", b"ab", b" a", b"aba", b"ba"]
     rng = np.random.default_rng(1)
     prob = np.vstack([rng.dirichlet(np.ones(len(entries)), 2).T, np.zeros((1, 2))])
-    words = [b" abab", b" a", b" ba", b" aabab", b"b"]
-    got = language.word_scores(words, language.Pieces(entries), prob)
-    for w, row in zip(words, got, strict=True):
-        assert np.allclose(row, [np.log(enumerated(w, entries, prob[:, c])) for c in range(2)])
+    words = [b" abab", b" a", b" ba", b" aabab", b"b", b" abababbaabab"]
+    for block in (1, 2, 3, 32):
+        got = language.word_scores(words, language.Pieces(entries), prob, block)
+        for w, row in zip(words, got, strict=True):
+            assert np.allclose(row, [np.log(enumerated(w, entries, prob[:, c])) for c in range(2)])
+
+
+def test_long_words_and_entries():
+    """A word of thousands of bytes, and an entry of 100, against sums in exact fractions."""
+    entries = [b"a", b"b", b"ab", b"ba" * 50, b"aba"]
+    p = [Fraction(k, 16) for k in (3, 4, 5, 1, 3)]
+    prob = np.array([[float(x)] for x in p] + [[0.0]])
+    rng = np.random.default_rng(5)
+    for n in (300, 3000):
+        word = bytes(rng.integers(97, 99, n, np.uint8)) + b"ba" * 120
+        sums = [Fraction(1)]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[end - len(e)] * x for e, x in zip(entries, p, strict=True) if word[:end].endswith(e)))
+        exact = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+        for block in (7, 32):
+            assert np.isclose(language.word_scores([word], language.Pieces(entries), prob, block)[0, 0], exact)
+
+
+def test_no_cut_of_words():
+    """Words of over 64 bytes aren't the product of their parts."""
+    own = language.Pieces(entries := sorted(e for e in language.read_ranks(PATH) if language.IN_WORDS.fullmatch(e)))
+    prob = np.vstack([np.random.default_rng(2).dirichlet(np.ones(len(entries)), 2).T, np.zeros((1, 2))])
+    word = language.spaced("donaudampfschifffahrtsgesellschaft" * 5)
+    whole, parts = language.word_scores([word], own, prob), language.word_scores([word[i : i + 64] for i in range(0, len(word), 64)], own, prob)
+    assert own.longest > 16 and (whole > parts.sum(0)).all()
 
 
 def test_learning_raises_likelihood():
@@ -51,7 +79,7 @@ def test_held_out(spark):
 
 
 def test_nothing_learned(spark):
-    docs = spark.createDataFrame([(1, "some text", None, "extra")], "doc_id long, text string, lang string, score string")
+    docs = spark.createDataFrame([(1, "some text", None, "extra", 1)], "doc_id long, text string, lang string, score string, `my col` int")
     model = language.train(docs, PATH)
     assert [tuple(r) for r in language.predict(docs, model).collect()] == [(1, zlib.crc32(b"1") % 4 == 2, "und", 0.0)]
     assert language.predict(docs.limit(0), model).count() == 0 and language.known(docs, model).columns == docs.columns

@@ -70,12 +70,39 @@ def test_empty(spark):
 
 def test_pointers():
     rng = np.random.default_rng(3)
-    data = rng.integers(97, 99, 3000).astype(np.uint8)
-    raw, p = data.tobytes(), substrings.refine(data, 50)
-    seen = {}
-    for i in range(len(raw) - 50):
+    data = np.concatenate([rng.integers(97, 99, 3000), np.zeros(60), rng.integers(97, 99, 90), np.full(200, 97)]).astype(np.uint8)
+    data[1500:1700] = data[100:300]
+    order, pointer = substrings.refine(data, 50)
+    raw = data.tobytes()
+    assert sorted(order.tolist()) == list(range(len(raw))) and (np.diff(pointer[order]) >= 0).all()
+    at = np.arange(len(raw) - 49)
+    p, seen = substrings.window_classes(data, at, 50), {}
+    for i in at.tolist():
         assert seen.setdefault(raw[i : i + 50], p[i]) == p[i]
-    assert len(set(seen.values())) == len(seen)
+    assert len(set(seen.values())) == len(seen) < len(at)
+
+
+def test_equal_hashes_are_compared():
+    data = np.frombuffer(b"abcdefghij" * 3 + b"abcdefghiX", np.uint8)
+    start = np.array([0, 10, 20, 30])
+    lead, place = substrings.leads(data, start, start + 10, np.zeros(4, np.uint64), np.zeros(4, np.uint64), np.array([7, 5, 9, 6]))
+    assert lead[place].tolist() == [1, 1, 1, 3]
+
+
+def test_long_text_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(97, 123, 1 << 20, np.uint8)).decode()
+    rows = [(1, text), (2, "-" + text[1000:2000] + "+"), (3, text[5000:5040]), (4, text[-70:])]
+    want = [(1, len(text), 0), (2, 1002, 1000), (3, 40, 0), (4, 70, 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in substrings.repeat_digests(docs).collect()) == want
+
+
+def test_names_and_cut_characters(spark):
+    passage = "é" * 30 + "lorem ipsum dolor sit amet, consectetur" * 2
+    docs = spark.createDataFrame([(1, passage, 1, 2), (2, "\ufffd©" + passage[1:] + "\ufffd", 1, 2)], "doc_id long, text string, `my col` int, `a.b` int")
+    out = {r.doc_id: r for r in substrings.without_repeats(docs).collect()}
+    assert out[1].text == passage and out[2].text == "\ufffd\ufffd" and out[2]["my col"] == 1 and out[2]["a.b"] == 2
 
 
 def test_windows_in_blocks(monkeypatch):

@@ -8,18 +8,19 @@ from logsense.llm import topk
 
 
 def brute(rows, k, every):
-    good = [(i, [math.floor(64 * float(v)) for v in x]) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    good = [(n, i, [math.floor(64 * float(v)) for v in x]) for n, (i, x) in enumerate(rows) if x is not None and all(v is not None and math.isfinite(v) for v in x)]
     out = []
-    for i, x in good:
-        if i % every:
+    for m, q, x in good:
+        if q is None or q % every:
             continue
-        scored = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in good if j != i and len(y) == len(x))
-        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
+        score = lambda y: min(max(sum(a * b for a, b in zip(x, y)), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+        scored = sorted((-score(y), j is None, j or 0) for n, j, y in good if n != m and len(y) == len(x))
+        out += [(q, r + 1, -1 if none else j, -s) for r, (s, none, j) in enumerate(scored[:k])]
     return sorted(out)
 
 
 def got(df):
-    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
+    return sorted((r.query_id, r.rank, -1 if r.vec_id is None else r.vec_id, r.score) for r in df.collect())
 
 
 def frame(spark, rows):
@@ -42,28 +43,18 @@ def test_repeated_rows(spark, monkeypatch):
     best = max((r for r in rows if r[0] % 20), key=lambda r: sum(a * b for a, b in zip(r[1], rows[20][1])))
     rows += [(i, x) for i, x in rows if i < 20 or i > 40]
     rows += [best] * 5 + [(40, rows[3][1]), (7, rows[8][1])]  # the same ids with other vectors
+    rows += [(None, [2 * v for v in rows[20][1]])] * 2 + [(None, best[1])]
     for size in (8192, 20):
         monkeypatch.setattr(topk, "CANDIDATES", size)
-        assert got(topk.top_k(frame(spark, rows), 5, 20)) == sorted_by_query(rows, 5, 20)
-    every_twice = rows[:60] * 2
-    monkeypatch.setattr(topk, "CANDIDATES", 8192)
-    out = got(topk.top_k(frame(spark, every_twice), 20, 20))
-    assert out == sorted_by_query(every_twice, 20, 20) and len(out) == 3 * 20
-
-
-def sorted_by_query(rows, k, every):
-    """As the query's SQL has it: all pairs of rows, ranked by query_id."""
-    v = [(i, [math.floor(64 * float(c)) for c in x]) for i, x in rows]
-    out = []
-    for q in {i for i, _ in v if i % every == 0}:
-        scored = sorted((-sum(a * b for a, b in zip(x, y)), j) for i, x in v if i == q for j, y in v if j != q)
-        out += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
-    return sorted(out)
+        monkeypatch.setattr(topk, "QUERIES_AT_ONCE", size // 8)
+        assert got(topk.top_k(frame(spark, rows), 5, 20)) == brute(rows, 5, 20)
 
 
 def test_large_values_and_few_rows(spark):
     rows = [(0, [3e6, -1.0]), (1, [2e6, 5.0]), (20, [1.0, 1.0])]
     assert got(topk.top_k(frame(spark, rows), 20, 20)) == brute(rows, 20, 20)
+    rows += [(2, [float(np.float32(1e30)), 0.0]), (3, [float(np.float32(-1e30)), 0.0]), (4, [float(np.float32(2e30)), 0.0])]
+    assert got(topk.top_k(frame(spark, rows), 4, 20)) == brute(rows, 4, 20)
     assert topk.top_k(frame(spark, []), 20, 20).count() == 0
 
 
@@ -71,7 +62,9 @@ def test_search_stops_early():
     rng = np.random.default_rng(0)
     rows = rng.integers(-5, 6, (4000, 3)).astype(np.float32)
     rows[7] = [60, 60, 60]
-    ids, asc = np.arange(4000), np.argsort(rows, axis=0, kind="stable").T
-    seen = np.zeros(4000, bool)
-    found, scores = topk.threshold_search(np.array([9, 9, 9], np.float32), -1, ids, rows, asc, np.take_along_axis(rows.T, asc, 1), 1, seen)
-    assert found.tolist() == [7] and scores.tolist() == [1620] and seen.sum() < 400
+    block = topk.Block(np.arange(4000), np.zeros(4000, bool), rows, np.argsort(rows, axis=0, kind="stable").T)
+    query, none = np.array([9, 9, 9], np.float32), np.zeros(0, np.int64)
+    found, scores = block.search(query, none, 1)
+    assert found.tolist() == [7] and scores.tolist() == [1620] and block.met < 400
+    found, scores = block.search(query, none, 20, least=1000)
+    assert found.tolist() == [7] and block.met < 400
