@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the
 columns of documents. SQL can't express the stages; tests hold each against a brute-force version.
+
+Defined cases: a null text is rejected by the first stage, as are texts without letters; equal texts are one
+document after the second, that of the least id, null last; ties go by id; an empty table gives an empty
+result; columns that documents don't have pass through, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, their number, and the digest of the bytes that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, path, offsets=False), path)
+    out = bpe.decode(bpe.encode(docs, path), path)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
