@@ -2,13 +2,14 @@
 
 Pass one hashes every container element's subtree and counts, per host, the pages of different text it
 occurs on, so that copies of a page are one; pass two drops the subtrees that recur, beside what HTML itself marks as no article
-(menus, footers, scripts, forms and so on) and elements whose class, id or role says so; inside the article
-words such as header, search or share aren't enough, and the element has to recur too. Other headings and
-paragraphs are never counted as templates, so a passage that many articles share stays.
+(menus, footers, scripts, forms and so on) and elements whose class, id or role says so. Inside the article
+a class or id only counts for boxes (div, section and the like) of a clear name such as ad or comments; words
+such as header, search or share, and any class of a paragraph or list item, count if the element recurs too. Other
+headings and paragraphs are never counted as templates, so a passage that many articles share stays.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; tags left open
-end with their parent, an unfinished tag at the end is dropped; a page without article or main element is
-taken from its whole body; where templates leave nothing but headings, the longest of them that holds
+end with their parent, an unfinished tag at the end is dropped; formulas are text, drawings aren't; articles marked
+as teasers go where another isn't; a page without article or main element is taken from its whole body; where templates leave nothing but headings, the longest of them that holds
 more than links stays, as it may be an article with copies; equal pages of a host give equal texts; an empty table gives no rows; other columns
 are dropped.
 """
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsense.llm.arrays import tidy
 from logsense.session import checkpoint, ship
 
 #: A subtree is a template if it is on so many pages of its host, however large the host is.
@@ -34,7 +36,7 @@ BROADCAST_BYTES = 8 << 20
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|canvas|object)\b(?:"[^"]*"|'[^']*'|[^'">])*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)
+    |<(?P<raw>script|style|title|textarea|noscript|iframe|xmp|noembed|noframes)\b(?:"[^"]*"|'[^']*'|[^'">])*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)
     |<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s(?:"[^"]*"|'[^']*'|[^'">])*|/)?)>
     |</?[a-zA-Z!?][^>]*(?:>|\Z)|<[!?/]?\Z""",
     re.S | re.I | re.X,
@@ -42,96 +44,138 @@ TOKEN = re.compile(
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 CONTAINERS = frozenset("div section aside nav header footer ul ol dl table form fieldset details figure blockquote address menu dialog center".split())
 BLOCKS = CONTAINERS | frozenset("html head body main article p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot pre hr figcaption summary option select button label".split())
-DROPPED = frozenset("head nav footer aside form button select menu dialog audio video label fieldset".split())
+DROPPED = frozenset("head nav footer aside form button select menu dialog audio video label fieldset svg canvas object template annotation annotation-xml".split())
+FOREIGN = frozenset("svg math".split())  # elements that may close themselves
 OWN = frozenset("blockquote table figure dl details address center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADINGS = TITLES | {"html", "body", "main"}
 # Words in class, id and role that mark what isn't the article.
 MARKED = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail widget widgets footer foot header masthead topbar toolbar share sharing social related recommended recommendations more-like teaser comment comments commentlist disqus reply replies respond pagination pager skip legal copyright login search contentinfo complementary".split()
+    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail widget widgets footer foot header masthead topbar toolbar share sharing social related recommended recommendations teaser comment comments commentlist disqus reply replies respond pagination pager skip legal copyright login search contentinfo complementary".split()
 )
 # Those of them that also name an article's own parts: inside the article they count only if the element recurs on the host.
 WEAK = frozenset("header masthead foot footer side rail search legal copyright social share sharing alert notice notices banner navigation menu menus advertising promotion sponsor login overlay consent subscription skip".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+TEASERS = frozenset("teaser related recommended recommendations promo promotion sponsored advert advertisement ad".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def marks(attrs: str) -> set[str]:
-    """Words of an element's class, id and role."""
-    out: set[str] = set()
+def marks(attrs: str) -> tuple[bool, set[str]]:
+    """Whether an element is hidden or has a role that no article has, and the words of its class and id."""
+    sure, out = False, set()
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            out.add("popup")
-        elif name == "role" and value in MARKED:
-            out.add("nav")  # a role isn't a name that an author makes up
-        elif name != "aria-hidden":
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in MARKED:
+            sure = True  # a role isn't a name that an author makes up
+        elif name in ("class", "id"):
             out.update(re.split(r"[^a-z0-9]+", value))
-    return out
+    return sure, out
+
+
+def joined(text: str) -> str:
+    """text with single spaces."""
+    return " ".join(text.split())
 
 
 class Page:
-    """Elements of a page with the source range of each."""
+    """Elements of a page with the source range of each, and the hashes of the subtrees that may be templates.
+
+    A subtree's hash is taken over its own tags and text and its children's hashes, so nesting costs nothing.
+    """
 
     def __init__(self, html: str):
         self.html = html
         self.tokens = list(TOKEN.finditer(html))
         self.elements: list[list] = []  # tag, start, end, marked, inside article, holds article, weak words of its marks
-        open_: list[int] = []
-        main = re.search(r"<(article|main)\b", html, re.I)
-        self.main = main[1].lower() if main else ""
-        if self.main and re.search(r"<article\b", html, re.I):
-            self.main = "article"
-
-        def close(n: int, at: int) -> None:
-            while len(open_) > n:
-                self.elements[open_.pop()][2] = at
-
+        self.hashes: dict[int, int] = {}
+        tags = {m["tag"].lower() for m in self.tokens if m["tag"] and not m["end"]}
+        self.main = next((t for t in ("article", "main") if t in tags), "")
+        self._open: list[int] = []
+        self._count: dict[str, int] = {}
+        self._parts: list[list[str]] = [[]]  # of each open element: tags, text and children's hashes
+        self._texts: list[list[str]] = [[]]  # the same without tags, kept while an element with weak words is open
+        self._weak = last = 0
         for m in self.tokens:
+            self._add(joined(html[last : m.start()]), True)
+            last = m.end()
             tag = (m["tag"] or "").lower()
-            if not tag or tag in VOID:
-                continue
-            if m["end"]:
-                for n in range(len(open_) - 1, -1, -1):
-                    if self.elements[open_[n]][0] == tag:
-                        close(n + 1, m.start())
-                        self.elements[open_.pop()][2] = m.end()
-                        break
-                    if self.elements[open_[n]][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                        break
-                continue
-            words = marks(m["attrs"]) if m["attrs"] else set()
-            marked = set() if tag in HEADINGS else words & (READERS if tag == "article" else MARKED)
-            if tag not in BLOCKS and not marked:
-                continue
-            if open_ and tag in BLOCKS and self.elements[open_[-1]][0] == "p":
-                close(len(open_) - 1, m.start())
-            if open_ and self.elements[open_[-1]][0] in CLOSES.get(tag, ()):
-                close(len(open_) - 1, m.start())
-            inside = any(self.elements[k][0] == self.main for k in open_)
-            if tag == self.main and not inside:
-                for k in open_:
-                    self.elements[k][5] = True
-            open_.append(len(self.elements))
-            sure = bool(marked - WEAK if inside else marked) or tag in DROPPED or tag == "header" and not inside
-            self.elements.append([tag, m.start(), len(html), sure, inside, False, () if sure else sorted(marked)])
-        close(0, len(html))
-
-    def subtrees(self) -> dict[int, int]:
-        """Hash of each subtree that may be a template, by the element's number."""
-        out = {}
-        for k, (tag, start, end, _, inside, holds, weak) in enumerate(self.elements):
+            if not tag or tag in VOID or tag in FOREIGN and m["attrs"].endswith("/"):
+                self._add(joined(m[0]))
+            elif m["end"]:
+                self._end(tag, m)
+            else:
+                self._start(tag, m)
+        self._add(joined(html[last:]), True)
+        self._close(0, len(html))
+        mains = [e for e in self.elements if e[0] == self.main and not e[4]]
+        if all(e[3] for e in mains):
+            for e in mains:
+                e[3] = False
+
+    def _add(self, part: str, text: bool = False) -> None:
+        if part:
+            self._parts[-1].append(part)
+            if text and self._weak:
+                self._texts[-1].append(part)
+
+    def _start(self, tag: str, m: re.Match) -> None:
+        sure, words = marks(m["attrs"]) if m["attrs"] else (False, set())
+        marked = set() if tag in HEADINGS else words & (READERS | TEASERS if tag == "article" else MARKED)
+        if tag not in BLOCKS and tag not in DROPPED and not marked and not sure:
+            self._add(joined(m[0]))
+            return
+        top = self.elements[self._open[-1]][0] if self._open else ""
+        if top == "p" and tag in BLOCKS or top in CLOSES.get(tag, ()):
+            self._close(len(self._open) - 1, m.start())
+        inside = bool(self.main and self._count.get(self.main))
+        # inside the article a class is only a hint, but for the boxes that hold what their class says
+        strong = marked - WEAK if not inside or tag in CONTAINERS or tag == "article" else set()
+        sure = (sure and tag not in HEADINGS) or bool(strong) or tag in DROPPED or tag == "header" and not inside
+        weak = () if sure else sorted(marked)
+        self._weak += bool(weak)
+        self._open.append(len(self.elements))
+        self._count[tag] = self._count.get(tag, 0) + 1
+        self._parts.append([joined(m[0])])
+        self._texts.append([])
+        self.elements.append([tag, m.start(), len(self.html), sure, inside, False, weak])
+
+    def _end(self, tag: str, m: re.Match) -> None:
+        if self._count.get(tag):
+            for n in range(len(self._open) - 1, -1, -1):
+                name = self.elements[self._open[n]][0]
+                if name == tag:
+                    self._close(n + 1, m.start())
+                    self._close(n, m.end())
+                    return
+                if name in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
+                    return
+        elif tag not in BLOCKS:
+            self._add(joined(m[0]))
+
+    def _close(self, n: int, at: int) -> None:
+        """Close open elements until n are left."""
+        while len(self._open) > n:
+            k = self._open.pop()
+            e = self.elements[k]
+            tag, _, _, _, inside, holds, weak = e
+            e[2] = at
+            h, texts = digest("\0".join(self._parts.pop())), self._texts.pop()
             if weak:  # a box for sharing has other addresses on each page, and the same text
-                out[k] = digest(" ".join([*weak, *TOKEN.sub(" ", self.html[start:end]).split()]))
-            # an article's quotes and tables are its own
-            elif tag in CONTAINERS and not holds and not (inside and tag in OWN):
-                out[k] = digest(" ".join(self.html[start:end].split()))
-        return out
+                self.hashes[k] = digest("\0".join([*weak, *texts]))
+                self._weak -= 1
+            elif tag in CONTAINERS and not holds and not (inside and tag in OWN):  # an article's quotes and tables are its own
+                self.hashes[k] = h
+            self._parts[-1].append(f"\1{h}")
+            if self._weak:
+                self._texts[-1].append(f"\1{digest(chr(0).join(texts))}")
+            self._count[tag] -= 1
+            if self._open and (holds or tag == self.main and not inside):
+                self.elements[self._open[-1]][5] = True
 
     def text(self, templates: set[int]) -> str:
         """The article's blocks, one on a line."""
-        known = {k for k, h in self.subtrees().items() if h in templates} if templates else set()
+        known = {k for k, h in self.hashes.items() if h in templates} if templates else set()
         blocks = self.blocks(known)
         if known and not any(outside for _, outside in blocks):
             # nothing but headings is left: these may be copies of an article that differ around it
@@ -207,13 +251,13 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFram
             hosts, hashes, texts = [], [], []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = Page(html)
-                if own := set(page.subtrees().values()):
+                if own := set(page.hashes.values()):
                     hosts += [host] * len(own)
                     hashes += own
                     texts += [digest(page.text(set()))] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())], ["host", "h", "page"])
 
-    seen = with_host(pages).select("host", "html").mapInArrow(subtrees, "host string, h long, page long")
+    seen = with_host(pages).select("host", "html").mapInArrow(tidy(subtrees), "host string, h long, page long")
     seen = seen.groupBy("host", "h").agg(F.count_distinct("page").alias("n"))
     return seen.where(F.col("n") >= least_pages).groupBy("host").agg(F.collect_list("h").alias("templates"))
 
@@ -233,18 +277,18 @@ def with_templates(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYT
                     if (all_ := found.value.get(host)) is None:
                         own.append(None)
                         continue
-                    hashes = np.unique(np.array(list(Page(html).subtrees().values()), np.int64))
+                    hashes = np.unique(np.array(list(Page(html).hashes.values()), np.int64))
                     at = np.minimum(np.searchsorted(all_, hashes), len(all_) - 1)
                     own.append(hashes[all_[at] == hashes].tolist() or None)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64()))], [*batch.schema.names, "templates"])
 
-        return x.mapInArrow(look_up, f"page_id {kind}, url string, html string, host string, templates array<bigint>")
+        return x.mapInArrow(tidy(look_up), f"page_id {kind}, url string, html string, host string, templates array<bigint>")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, hashes = [], []
             for k, html in enumerate(batch.column("html").to_pylist()):
-                own = set(Page(html).subtrees().values())
+                own = set(Page(html).hashes.values())
                 at += [k] * len(own)
                 hashes += own
             rows = batch.select(["host", "a", "b"]).take(pa.array(at, pa.int64()))
@@ -252,7 +296,7 @@ def with_templates(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYT
 
     # a page is known by its host and two hashes; what it has in common with its host's table is found by a join
     x = x.withColumns({"a": F.xxhash64("html"), "b": F.xxhash64("html", F.lit(1))})
-    own = x.select("host", "a", "b", "html").mapInArrow(subtrees, "host string, a long, b long, h long").distinct()
+    own = x.select("host", "a", "b", "html").mapInArrow(tidy(subtrees), "host string, a long, b long, h long").distinct()
     own = own.join(known.select("host", F.explode("templates").alias("h")), ["host", "h"])
     own = own.groupBy("host", "a", "b").agg(F.sort_array(F.collect_list("h")).alias("templates"))
     return x.join(own, ["host", "a", "b"], "left").select("page_id", "url", "html", "host", "templates")
@@ -269,4 +313,4 @@ def main_text(pages: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return x.mapInArrow(extract, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return x.mapInArrow(tidy(extract), f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

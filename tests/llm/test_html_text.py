@@ -1,4 +1,9 @@
-"""Main text of pages, and templates found by recurrence."""
+"""Main text of pages, templates found by recurrence, and all test pages against a slow reader of another make."""
+
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from logsense.llm.html_text import Page, main_text, site_templates, with_templates
 
@@ -28,6 +33,78 @@ def test_odd_pages():
     assert text("<p>" + "word " * 200_000) == " ".join(["word"] * 200_000)
 
 
+def test_lost_text():
+    assert text("<article><p>a</p><svg/><p>b</p><math /><p>c</p></article>") == "a\nb\nc"
+    assert text("<article><p>a <svg><title>t</title><text>no</text></svg> b</p></article>") == "a b"
+    assert text("<!-- <article> --><script>'<article>'</script><main><p>x</p></main>") == "x"
+    assert text("<script>'<main>'</script><p>x</p>") == "x"
+    assert text("<article><p>so <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math> holds</p></article>") == "so E=m holds"
+    kept = "".join(f'<p class="{c}">{c}</p><ul><li class="{c}">item</li></ul>' for c in ("notice", "social", "related more", "legal"))
+    assert text(f"<article>{kept}</article>") == "notice\nitem\nsocial\nitem\nrelated more\nitem\nlegal\nitem"
+    assert text('<article><p>own</p></article><article class="teaser"><p>other</p></article>') == "own"
+    assert text('<article class="ad"><p>own</p></article>') == "own"
+    assert text("<template><p>no</p></template><object>no</object><p>yes</p>") == "yes"
+
+
+def test_deep_nesting():
+    took = []
+    for n in (4000, 16000):
+        begun = time.perf_counter()
+        assert text("<div>" * n + "x" + "</div></b></p>" * n) == "x" and text("<article>" + "<div class=share>" * n + "x") == "x"
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 10 * took[0]
+
+
+class Reader(HTMLParser):
+    """Blocks of the first kind of article that a page has, by events of the standard library's parser."""
+
+    SKIP = {"nav", "footer", "aside", "form", "script", "style", "head", "header"}
+    BLOCK = {"p", "div", "article", "section", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "html", "body"} | SKIP
+
+    def __init__(self, html):
+        super().__init__()
+        self.main, self.skip, self.now, self.blocks = 0, [], [], []
+        self.feed(html)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if s := " ".join("".join(self.now).split()):
+            self.blocks.append(s)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCK:
+            self.flush()
+        self.main += tag == "article"
+        words = f"{dict(attrs).get('class') or ''} {dict(attrs).get('id') or ''}".split()
+        if tag in self.SKIP or tag == "div" and {"ad", "comments", "cookie", "sidebar"} & set(words):
+            self.skip.append(tag)
+        elif tag in self.skip:
+            self.skip.append(tag)
+        if tag == "br":
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.flush()
+        self.main -= tag == "article"
+        if self.skip and self.skip[-1] == tag:
+            self.skip.pop()
+
+    def handle_data(self, data):
+        if self.main and not self.skip:
+            self.now.append(data)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_all_pages_against_a_slow_reader(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    want = {r.page_id: "\n".join(Reader(r.html or "").blocks) for r in pages.collect()}
+    got = {r.page_id: r.text for r in main_text(pages).collect()}
+    assert got == want and any(want.values())
+
+
 def test_site_templates(spark):
     def html(k, host):
         own = f"<div><p>promo of {host}</p></div>" if host == "h" else ""
