@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from logsense.llm.batches import quoted
 from logsense.session import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bins of the sampling order; one bin of a source is sorted in one task.
-BINS = 4096
+#: Bins of the sampling order for each doubling, and in all; one bin of a source is sorted in one task.
+FINE, BINS = 256, 16384
 #: Sources up to which a table with a row per source is broadcast.
 MANY = 50_000
 
@@ -86,7 +87,7 @@ def plan_mix(sized: DataFrame, weights=(5, 2, 1), share=1.5, most=2, seed=7) ->
     targets = _bounded(checkpoint(source_targets(sized, weights, share, most)))
     drawn = _joined(sized, targets).where((F.col("odds") > 0) & (F.col("size") > 0))
     drawn = drawn.withColumn("q", _order(F.col("doc_id"), F.col("size"), F.col("odds"), F.col("z"), F.col("n"), seed))
-    drawn = drawn.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("q") / (1 + F.col("q")) * BINS)).cast("int"))
+    drawn = drawn.withColumn("bin", _bin(F.col("q")))
     by_bin = drawn.groupBy("source", "left", "bin").agg(F.sum("size").alias("words"), F.max(_key()).alias("key"))
     upto = Window.partitionBy("source").orderBy("bin")
     by_bin = by_bin.withColumn("upto", F.sum("words").over(upto))
@@ -100,6 +101,12 @@ def plan_mix(sized: DataFrame, weights=(5, 2, 1), share=1.5, most=2, seed=7) ->
     return _bounded(checkpoint(targets.join(keys, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")))
 
 
+def _bin(q: Column) -> Column:
+    """A number that grows with the order: 0 for 0, then so many for each doubling, as most orders are far below 1."""
+    k = F.floor((F.log2(q) + 48) * FINE) + 1
+    return F.when(q > 0, F.least(F.greatest(k, F.lit(1)), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
+
+
 def _key() -> Column:
     return F.struct(F.col("q"), F.col("doc_id").cast("long").alias("doc_id"), F.col("size"))
 
@@ -135,7 +142,7 @@ def mix_documents(docs: DataFrame, docs_sized: DataFrame, **how) -> DataFrame:
     Documents without words carry nothing into a mix and are kept once.
     """
     seed = how.get("seed", 7)
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     x = apply_mix(rows, plan_mix(docs_sized, **how), seed)
     n = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int")
-    return x.where(n > 0).select("row", F.explode(F.sequence(F.lit(1), n)).alias("copy")).select("row.*")
+    return x.where(n > 0).select("row", F.explode(F.sequence(F.lit(1), n)).alias("copy")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
