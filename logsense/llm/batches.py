@@ -101,6 +101,24 @@ def placed(df: DataFrame, key: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+#: Keys that hold more than such a share of all rows are looked up in a broadcast table.
+HEAVY = 50_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined (left) with a table of one row a key, whose `weight` counts the key's rows, of `total` in all.
+
+    Keys with more than a HEAVYth of all rows can't be more than HEAVY: they are broadcast, and no other key
+    has enough rows to hold up its task.
+    """
+    most = max(1000, total // HEAVY)
+    own = [c for c in table.columns if c not in on and c != "weight"]
+    heavy = table.where(F.col("weight") > most).select(*on, *own, F.lit(True).alias("__heavy"))
+    x = rows.join(F.broadcast(heavy), on, "left")
+    light = x.where("__heavy is null").select(rows.columns).join(table.where(F.col("weight") <= most).select(*on, *own), on, "left")
+    return x.where("__heavy").select(*rows.columns, *own).unionByName(light.select(*rows.columns, *own))
+
+
 def _plain(b: pa.RecordBatch) -> pa.RecordBatch:
     """A copy without references to the larger batch it is cut from."""
     return b.take(pa.array(np.arange(len(b))))

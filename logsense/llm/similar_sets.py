@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsense.llm.arrays import binaries, tidy, tidy_group
-from logsense.llm.batches import NO_ID, ROW_BITS, Batch, bucket_count, expand, pack, quoted, squeeze, unpack
+from logsense.llm.batches import NO_ID, ROW_BITS, Batch, bucket_count, expand, looked_up, pack, quoted, squeeze, unpack
 from logsense.llm.substrings import _MULT, NO_BOUND, _repeated_anchors, by_bucket, mix, no_rest, range_hashes
 from logsense.session import checkpoint
 
@@ -185,6 +185,13 @@ class Union:
         x, y = self.find(x), self.find(y)
         self.up[max(x, y)] = min(x, y)
 
+    def roots_of(self, x: np.ndarray) -> np.ndarray:
+        """Roots of some numbers."""
+        up = self.up[x]
+        while (more := self.up[up]).tobytes() != up.tobytes():
+            up = more
+        return up
+
     def roots(self) -> np.ndarray:
         """Root of each number; all numbers point to theirs afterwards."""
         while True:
@@ -214,8 +221,7 @@ def candidate_links(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.
     for i in two[possible(two, two + 1)] if len(two) else ():
         found.join(doc[i], doc[i + 1])
     for i, j in zip(cut[length > 2], (cut + length)[length > 2], strict=True):
-        roots = found.roots()
-        own = roots[doc[i:j]]
+        own = found.roots_of(doc[i:j])
         if (own == own[0]).all():
             continue
         for x in range(i, j - 1):
@@ -226,9 +232,10 @@ def candidate_links(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.
                 continue
             hit = rest[possible(np.full(len(rest), x), rest)]
             if len(hit):
-                for y in np.unique(own[hit - i]):
-                    found.join(int(own[x - i]), int(y))
-                own = found.roots()[doc[i:j]]
+                linked = np.unique(np.append(own[hit - i], own[x - i]))
+                for y in linked[1:]:
+                    found.join(int(linked[0]), int(y))
+                own[np.isin(own, linked)] = linked[0]  # of roots the least stays one
                 if (own == own[0]).all():
                     break
     return found.roots()
@@ -272,22 +279,29 @@ def exact_links(grams: np.ndarray, at: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, root of an edge list (u, v), u > v: the least node reachable, by large and small stars."""
+    """node, root of an edge list (u, v), u > v: the least node reachable, by large and small stars.
+
+    A hub may have a third of all edges, so nodes find the least neighbour through looked_up().
+    """
     edges = checkpoint(edges.select("u", "v").distinct())
-    size = None
-    for _ in range(rounds):
+    facts = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    size = edges.agg(*facts).first()
+    for _ in range(rounds if size[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("weight")))
+        large = looked_up(both.where("v > u"), least, ["u"], 2 * size[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpoint(large.where("u <> v").distinct())
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("weight")))
+        small = looked_up(large, low, ["u"], size[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = checkpoint(small.where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = edges.agg(*facts).first()
         if now == size:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         size = now
-    raise RuntimeError("components haven't settled")
+    else:
+        if size[0]:
+            raise RuntimeError("components haven't settled")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _each(batches: DataFrame, f: Callable[[dict, Batch], list[tuple]], schema: str, rest: bool = False) -> DataFrame:
@@ -401,7 +415,11 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
     links = small.groupBy("part").applyInPandas(tidy_group(within), "u long, v long")
 
     # Components beyond one group: all against the component's first set, then the rest as queries in blocks.
-    first = big.where(F.col("row") == F.col("comp")).select("comp", F.col("grams").alias("lead"))
+    def blocks(grams: str):
+        return F.greatest(F.lit(1), F.floor(F.col(grams) / F.lit(group))).cast("long")
+
+    first = big.where(F.col("row") == F.col("comp")).select("comp", F.col("grams").alias("lead"), F.explode(F.sequence(F.lit(0).cast("long"), blocks("weight") - 1)).alias("salt"))
+    salted = big.withColumn("salt", F.pmod(F.xxhash64("row"), blocks("weight")))
 
     def against_first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -411,20 +429,21 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
                 hit.append(bool(rule.links(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
             yield pdf[["comp", "row", "n", "weight", "grams"]].assign(linked=hit)
 
-    seen = checkpoint(big.join(first, "comp").mapInPandas(tidy(against_first), "comp long, row long, n long, weight long, grams binary, linked boolean"))
+    seen = checkpoint(salted.join(first, ["comp", "salt"]).mapInPandas(tidy(against_first), "comp long, row long, n long, weight long, grams binary, linked boolean"))
     links = links.unionByName(seen.where("linked and row <> comp").select(F.col("row").alias("u"), F.col("comp").alias("v")))
     rest = seen.where("not linked")
 
-    def packed(rows: DataFrame) -> DataFrame:
-        """Blocks of about `group` grams of one component."""
+    def packed(rows: DataFrame, size: str) -> DataFrame:
+        """Blocks of about `group` grams of one component, whose grams are as many as the column `size` says."""
         def pack_sets(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"comp": pdf["comp"].iloc[:1], "rows": [pdf["row"].to_numpy("<i8").tobytes()], "linked": [pdf["linked"].to_numpy(bool).tobytes()], "sizes": [pdf["n"].to_numpy("<i8").tobytes()], "all_grams": [b"".join(pdf["grams"])]})
+            few = {c: pdf[c].iloc[:1].to_numpy() for c in ("comp", "block", "weight")}
+            return pd.DataFrame({**few, "rows": [pdf["row"].to_numpy("<i8").tobytes()], "linked": [pdf["linked"].to_numpy(bool).tobytes()], "sizes": [pdf["n"].to_numpy("<i8").tobytes()], "all_grams": [b"".join(pdf["grams"])]})
 
-        blocks = F.greatest(F.lit(1), F.floor(F.col("weight") / F.lit(group))).cast("long")
-        return rows.withColumn("block", F.pmod(F.xxhash64("row"), blocks)).groupBy("comp", "block").applyInPandas(tidy_group(pack_sets), "comp long, rows binary, linked binary, sizes binary, all_grams binary")
+        return rows.withColumn("block", F.pmod(F.xxhash64("row"), blocks(size))).groupBy("comp", "block").applyInPandas(tidy_group(pack_sets), "comp long, block long, weight long, rows binary, linked binary, sizes binary, all_grams binary")
 
-    asked = packed(rest.join(rest.groupBy("comp").agg(F.sum("n").alias("own")), "comp").withColumn("weight", F.col("own")).drop("own"))
-    pairs = packed(seen).join(asked.select("comp", F.col("rows").alias("q_rows"), F.col("sizes").alias("q_sizes"), F.col("all_grams").alias("q_grams")), "comp")
+    asked = packed(rest.join(rest.groupBy("comp").agg(F.sum("n").alias("own")), "comp"), "own")
+    asked = asked.select("comp", F.explode(F.sequence(F.lit(0).cast("long"), blocks("weight") - 1)).alias("block"), F.col("rows").alias("q_rows"), F.col("sizes").alias("q_sizes"), F.col("all_grams").alias("q_grams"))
+    pairs = packed(seen, "weight").join(asked, ["comp", "block"])
 
     def blocks_against(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -464,7 +483,7 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
     weight = np.log2(often["count"].to_numpy(np.float64)[order] + 1).astype(np.uint8)
     frequent = spark.sparkContext.broadcast((value, weight))
 
-    classes = checkpoint(info.where("n > 0").groupBy("n", "a", "c").agg(F.min("row").alias("first")))
+    classes = checkpoint(info.where("n > 0").groupBy("n", "a", "c").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("weight")))
     buckets = bucket_count(batches, 8 << 20)
     wide = max(8, buckets // 4)
     of_classes = _per_batch(classes.select(F.col("first").alias("row")))
@@ -509,15 +528,16 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
 
     small, big = (sets_of(members.where(x)) for x in (F.col("weight") <= group, F.col("weight") > group))
     linked = components(_verified(small, big, total, rule, group))
-    roots = classes.join(linked.withColumnRenamed("node", "first"), "first", "left").select("n", "a", "c", F.coalesce("root", "first").alias("root"))
-    return info.join(roots, ["n", "a", "c"], "left").select("row", "doc_id", "n", F.coalesce("root", "row").alias("root"))
+    roots = classes.join(linked.withColumnRenamed("node", "first"), "first", "left").select("n", "a", "c", F.coalesce("root", "first").alias("root"), "weight")
+    rows = classes.agg(F.sum("weight")).first()[0] or 0
+    return looked_up(info, checkpoint(roots), ["n", "a", "c"], rows).select("row", "doc_id", "n", F.coalesce("root", "row").alias("root"))
 
 
 def link_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     x = checkpoint(similar_sets(pack(docs.select("doc_id", "text")), words, num, den, group))
-    least = x.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return x.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = checkpoint(x.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("weight")))
+    return looked_up(x, least, ["root"], x.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, group: int = GROUP) -> DataFrame:
