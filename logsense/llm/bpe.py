@@ -209,15 +209,20 @@ def _merged(path: str) -> Merged:
     return _worker[path]
 
 
+def slice_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """First byte of each pre-token of the texts of a flat piece."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    byte_of = np.flatnonzero((data & 0xC0) != 0x80)
+    first = np.searchsorted(byte_of, at[:-1][at[:-1] < at[1:]])
+    return byte_of[boundaries(points, first)]
+
+
 def encode_texts(data: np.ndarray, at: np.ndarray, get) -> list[bytes]:
     """Ids of each text of a flat piece."""
     if not len(data):
         return [b""] * (len(at) - 1)
     buffer = data.tobytes()
-    points = np.frombuffer(buffer.decode().encode("utf-32-le"), "<u4")
-    byte_of = np.flatnonzero((data & 0xC0) != 0x80)
-    first = np.searchsorted(byte_of, at[:-1][at[:-1] < at[1:]])
-    starts = byte_of[boundaries(points, first)]
+    starts = slice_starts(data, at)
     cut = np.searchsorted(starts, at).tolist()
     ends = [*starts[1:].tolist(), len(buffer)]
     slices = [buffer[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
