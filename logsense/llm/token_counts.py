@@ -31,7 +31,7 @@ from logsense.llm.substrings import range_hashes
 from logsense.session import ship
 
 #: Entries after which a worker empties its cache, and bytes from which pre-tokens aren't kept.
-CACHE, LONG = 100_000, 64
+CACHE, LONG = 400_000, 64
 
 
 def byte_chars() -> dict[str, int]:

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from logsense.llm.arrays import tidy, tidy_group
 from logsense.session import checkpoint, ship
 
-CANDIDATES, QUERIES_AT_ONCE, SCALE = 4096, 512, 64
+CANDIDATES, QUERIES_AT_ONCE, SCALE = 8192, 1024, 64
 #: Partitions at most over which blocks are dealt.
 MOST_PARTS = 20_000
 _LONG = np.iinfo(np.int64)
@@ -83,7 +83,7 @@ class Block:
         seen = np.zeros(n, bool)
         seen[own] = True
         found, scores = np.zeros(0, np.int64), np.zeros(0, self.rows.dtype)
-        done, depth = 0, max(16, 2 * k)
+        done, depth, every = 0, max(16, 2 * k), None
         while True:
             depth = min(depth, n)
             before = seen.copy()
@@ -93,7 +93,9 @@ class Block:
                 seen[:] = True
             fresh = np.flatnonzero(seen & ~before)
             if len(fresh):
-                new = self.rows[fresh] @ query
+                if every is None and len(fresh) > n // 16:
+                    every = self.rows @ query  # cheaper than to gather so many
+                new = self.rows[fresh] @ query if every is None else every[fresh]
                 if new.dtype == object:
                     new = np.array([min(max(int(v), int(_LONG.min)), int(_LONG.max)) for v in new], object)
                 if least is not None:
