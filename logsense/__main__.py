@@ -33,6 +33,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("input")
     c.add_argument("--select", default="log_levels,ipv4,timestamps")
     c.add_argument("-w", "--where")
+    c.add_argument("--columns", action="store_true", help="only name the columns that have values")
+    c.add_argument("--stats", action="store_true", help="only show sizes and values of each column")
+    c.add_argument("-v", "--verbose", action="store_true", help="also show the plan's scans")
     c.add_argument("--mode", default="line", choices=["line", "positional"])
     c.add_argument("--format", default="table", choices=["table", "csv", "json"])
     c.add_argument("--limit", type=int, default=100)
@@ -58,12 +61,18 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.command == "verify":
         n = store.restored(table).agg(F.count("text").alias("lines"), F.sum(F.octet_length("text") + 1).alias("bytes"))
         return store.to_table_text(n)
+    if a.columns:
+        return "\n".join(table.columns())
+    if a.stats:
+        return store.to_table_text(store.sizes(spark, a.input)) + "\n" + store.to_table_text(table.stats().orderBy("column"))
     q = QueryBuilder(table, a.mode).select(*a.select.split(","))
     q = q.where(a.where) if a.where else q
     if a.output and a.format != "table":
         {"csv": store.to_csv, "json": store.to_json}[a.format](q.run(), a.output)
         return ""
     rows = q.limit(a.limit).run()
+    if a.verbose:
+        rows.explain("formatted")
     if a.format == "table":
         return store.to_table_text(rows, a.limit)
     return "\n".join(rows.toJSON().collect() if a.format == "json" else [",".join(rows.columns), *rows.select(F.to_csv(F.struct("*"))).toPandas().iloc[:, 0]])

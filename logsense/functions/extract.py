@@ -34,11 +34,11 @@ def pieces(text: Column) -> Column:
 def tokens(cut: Column) -> Column:
     """Array of (tok_no, ptype, text) from pieces()."""
     odd = F.filter(cut, lambda x, i: i % 2 == 1)
+    types = F.array(*[F.lit(t) for t in TYPES])
 
     def token(x: Column, i: Column) -> Column:
-        slots = F.split(x, _SLOT)
-        k = F.array_position(F.transform(slots, lambda s: s != ""), F.lit(True)).cast("int")
-        return F.struct(i.alias("tok_no"), F.element_at(F.array(*[F.lit(t) for t in TYPES]), k).alias("ptype"), _plain(F.element_at(slots, k)).alias("text"))
+        kind = F.length(x) - F.length(F.ltrim(x, F.lit(_SLOT)))  # empty slots before the one that is filled
+        return F.struct(i.alias("tok_no"), F.get(types, kind).alias("ptype"), _plain(F.trim(x, F.lit(_SLOT))).alias("text"))
 
     return F.transform(odd, token)
 
@@ -70,15 +70,23 @@ def with_offsets(lits: Column, toks: Column) -> Column:
     return F.aggregate(toks, start, step, lambda a: a["out"])
 
 
-def extract(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the arrays `literals` and `tokens` of its text; a narrow projection."""
-    cut = df.withColumn("__cut", pieces(F.col(text)))
-    return cut.withColumn("literals", literals(F.col("__cut"))).withColumn("tokens", tokens(F.col("__cut"))).drop("__cut")
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once a row, however often later filters and projections use them."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.explode_outer(F.array(made)).alias("__once")).select(*df.columns, *[F.col("__once")[name].alias(name) for name in columns])
+
+
+def extract(df: DataFrame, text: str = "text", wanted: tuple[str, ...] = ("literals", "tokens")) -> DataFrame:
+    """df with the arrays `literals` and `tokens` of its text, or one of them; a narrow projection, made once a row."""
+    make = {"literals": literals, "tokens": tokens}
+    cut = once(df.drop(*wanted), __cut=pieces(F.col(text)))
+    return once(cut, **{w: make[w](F.col("__cut")) for w in wanted}).drop("__cut")
 
 
 def token_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row for each token: keys, tok_no, ptype, text."""
-    return extract(df, text).select(*keys, F.explode("tokens").alias("t")).select(*keys, "t.tok_no", "t.ptype", "t.text")
+    x = extract(df.select(*keys, F.col(text).alias("__text")), "__text", ("tokens",)).select(*keys, F.explode_outer("tokens").alias("t"))
+    return x.where("t is not null").select(*keys, "t.tok_no", "t.ptype", "t.text")
 
 
 def _ranged(k: int, name: str):
@@ -111,3 +119,22 @@ def priority_tokens(text: Column) -> Column:
     kept = F.aggregate(_candidates(_escaped(F.coalesce(text, F.lit("")))), none, lambda acc, m: F.when(free(acc, m), F.concat(acc, F.array(m))).otherwise(acc))
     order = F.array_sort(F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["ptype"].alias("ptype"), _plain(m["text"]).alias("text"), m["prio"].alias("prio"))))
     return order
+
+
+def replace_patterns(text: Column) -> Column:
+    """The text with {Pi} in place of its ith match of priority_tokens(), and the matches."""
+    found = priority_tokens(text)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("i"))
+
+    def step(acc: Column, m: Column) -> Column:
+        before = F.substring(text, acc["at"] + 1, m["start"] - acc["at"])
+        return F.struct(m["end"].cast("int").alias("at"), F.concat(acc["out"], before, F.lit("{P"), acc["i"].cast("string"), F.lit("}")).alias("out"), (acc["i"] + 1).alias("i"))
+
+    replaced = F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.struct(replaced.alias("text"), found.alias("matches"))
+
+
+def restore_patterns(text: Column, matches: Column) -> Column:
+    """replace_patterns() undone: each placeholder's match again, from the last to the first."""
+    numbered = F.reverse(F.transform(matches, lambda m, i: F.struct(i.alias("i"), m["text"].alias("text"))))
+    return F.aggregate(numbered, text, lambda acc, m: F.replace(acc, F.concat(F.lit("{P"), m["i"].cast("string"), F.lit("}")), m["text"]))

@@ -43,6 +43,16 @@ def charset(text: Column) -> Column:
     return F.array_sort(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""))
 
 
+def charset_contains(chars: Column, char: str) -> Column:
+    """Whether a charset() has a character."""
+    return F.array_contains(chars, char)
+
+
+def text_len(text: Column) -> Column:
+    """Bytes of a searched text."""
+    return F.octet_length(text)
+
+
 def merged_charset(df: DataFrame, text: str) -> DataFrame:
     """Distinct characters of all rows; each task reduces its rows to their characters first."""
     return df.select(F.explode(charset(F.coalesce(F.col(text), F.lit("")))).alias("char")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from logsense.functions.extract import priority_tokens
+from logsense.functions.misc import compressed
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -62,6 +63,7 @@ def estimate(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     x = statistics(df, key, text)
     n = F.col("original_size")
     x = x.withColumn("pattern_coverage", coverage(F.col("text"), n))
+    # Factors of the size, weights of coverage and repetition, bounds of the ratio, bytes of the header.
     size_factor = F.when(n < 100, F.lit(1.5)).when(n < 1000, F.lit(0.9)).otherwise(F.lit(0.7))
     raw = F.col("shannon_entropy") / 8 * (1 - 0.3 * F.col("pattern_coverage")) * (1 - 0.2 * F.col("repetition_score")) * size_factor
     raw = F.least(F.greatest(raw, F.lit(0.05)), F.lit(1.5))
@@ -72,6 +74,24 @@ def estimate(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return x.drop("text", "counts")
 
 
+# The code points of Unicode's White_Space property, as a class for regular expressions.
+WHITE_SPACE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+def word_count(text: Column) -> Column:
+    """Words between white space."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE_SPACE}]+")), F.lit(0)).cast("long")
+
+
+def compression_stats(df: DataFrame, key: str, text: str = "text", level: str = "balanced") -> DataFrame:
+    """Per row: sizes, words, matches of the priority extractor, ratio, exceptions a word, and savings."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    x = df.select(key, F.octet_length(t).cast("long").alias("original_size"), F.octet_length(compressed(t, level)).cast("long").alias("compressed_size"), word_count(t).alias("token_count"), F.size(priority_tokens(t)).cast("long").alias("exception_count"))
+    ratio = F.when(F.col("original_size") > 0, F.col("compressed_size") / F.col("original_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col("token_count") > 0, F.col("exception_count") / F.col("token_count")).otherwise(F.lit(0.0))
+    return x.select("*", ratio.alias("compression_ratio"), rate.alias("exception_rate"), (1 - ratio).alias("space_savings"))
+
+
 def learn(df: DataFrame, keys: list[str], text: str = "text", examples: int = 5) -> DataFrame:
     """Pattern statistics: per type its count and the first distinct examples in text order.
 

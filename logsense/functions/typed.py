@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from logsense.functions.patterns import LEVELS
 
+# How close equal numbers are, and the forms of a filter's timestamps.
 EPSILON = 2.220446049250313e-16
+FORMS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%d")
 _DAY = 86_400_000
 
 
@@ -90,8 +92,40 @@ def timestamp_ms(text: Column) -> Column:
     return F.when(naive, base).when(aware, base - F.when(zone.startswith("-"), -shift).otherwise(shift))
 
 
+def timestamp_text(text: Column) -> Column:
+    """The moment to the second, with its offset as +hh:mm; what doesn't parse as written."""
+    zone = F.regexp_replace(F.regexp_extract(text, r"([+-]\d{2}:?\d{2})$", 1), r"^(...)(\d\d)$", "$1:$2")
+    zone = F.when(F.length(text) > 19, zone).otherwise(F.lit(""))
+    return F.when(timestamp_ms(text).isNotNull(), F.concat(F.substring(text, 1, 19), zone)).otherwise(text)
+
+
+def date_text(days: Column) -> Column:
+    """Days since 1970 as yyyy-MM-dd."""
+    return F.date_format(F.date_from_unix_date(days.cast("int")), "yyyy-MM-dd")
+
+
+def time_text(ms: Column) -> Column:
+    """Milliseconds of the day as HH:mm:ss, with three digits more if they aren't zero."""
+    part = lambda by, mod, n: F.lpad((F.floor(ms / by) % mod).cast("string"), n, "0")
+    clock = F.concat_ws(":", part(3_600_000, 24, 2), part(60_000, 60, 2), part(1000, 60, 2))
+    return F.when(ms % 1000 > 0, F.concat(clock, F.lit("."), part(1, 1000, 3))).when(ms.isNotNull(), clock)
+
+
+def ipv6_text(digits: Column) -> Column:
+    """32 hex digits in the shortest form: no leading zeros, :: for the first longest run of zero groups, dots in a mapped IPv4 address."""
+    groups = [F.regexp_replace(F.substring(digits, k, 4), "^0{1,3}", "") for k in range(1, 33, 4)]
+    plain = F.concat_ws(":", *groups)
+    out = F.when(F.substring(digits, 1, 24) == "0" * 20 + "ffff", F.concat(F.lit("::ffff:"), ipv4_text(F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))))
+    for n in range(8, 1, -1):
+        run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$"
+        out = out.when(plain.rlike(run), F.regexp_replace(plain, run, "$1::$2"))
+    return F.when(digits.isNotNull(), out.otherwise(plain))
+
+
 VALUES = {"timestamps": timestamp_ms, "log_levels": level, "ipv4": ipv4, "ipv6": ipv6, "uuids": uuid, "numbers": number, "dates": date_days, "times": time_ms}
-RENDERED = {"log_levels": level_name, "numbers": number_text, "uuids": lambda t: uuid_text(uuid(t)), "ipv4": lambda t: ipv4_text(ipv4(t))}
+#: Types of stored values.
+STORED = {"timestamps": "bigint", "log_levels": "tinyint", "ipv4": "bigint", "ipv6": "string", "uuids": "string", "numbers": "double", "dates": "int", "times": "bigint", "emails": "string", "urls": "string", "paths": "string", "hex_values": "string"}
+RENDERED = {"log_levels": level_name, "numbers": number_text, "uuids": lambda t: uuid_text(uuid(t)), "ipv4": lambda t: ipv4_text(ipv4(t)), "ipv6": lambda t: ipv6_text(ipv6(t)), "timestamps": timestamp_text, "dates": lambda t: F.coalesce(date_text(date_days(t)), t), "times": lambda t: F.coalesce(time_text(time_ms(t)), t)}
 
 
 def literal(column: str, text: str):
@@ -114,7 +148,7 @@ def literal(column: str, text: str):
         except ValueError:
             return 0.0
     if column in ("timestamps", "dates"):
-        for form in ("%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d"):
+        for form in FORMS:
             try:
                 t = dt.datetime.strptime(text, form)
             except ValueError:

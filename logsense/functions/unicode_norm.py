@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -27,15 +28,19 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, COMPOSED, "".join(_PAIRS[c][0] for c in COMPOSED)), COMBINING, "")
 
 
+# Canonical classes, by ranges of code points (first, last, class).
+CLASSES = [(0x300, 0x314, 230), (0x315, 0x315, 232), (0x316, 0x319, 220), (0x31A, 0x31A, 232), (0x31B, 0x31B, 216), (0x323, 0x326, 220), (0x327, 0x328, 202), (0x330, 0x333, 220), (0x338, 0x338, 1)]
+_CLASS = {chr(c): k for first, last, k in CLASSES for c in range(first, last + 1)}
+_ANY_PAIR = re.compile("|".join(map(re.escape, _BACK)))
+
+
 def _class(c: str) -> int:
-    k = ord(c)
-    if 0x300 <= k <= 0x314:
-        return 230
-    if k in (0x315, 0x31A):
-        return 232
-    if 0x316 <= k <= 0x319 or 0x323 <= k <= 0x326 or 0x330 <= k <= 0x333:
-        return 220
-    return {0x31B: 216, 0x327: 202, 0x328: 202, 0x338: 1}.get(k, 0)
+    return _CLASS.get(c, 0)
+
+
+def is_combining(char: Column) -> Column:
+    """Whether a character is one that accents are made of."""
+    return char.rlike(f"^{COMBINING}$")
 
 
 def _decomposed(text: str) -> str:
@@ -52,12 +57,7 @@ def _decomposed(text: str) -> str:
 
 
 def _composed(text: str) -> str:
-    out, chars, i = [], _decomposed(text), 0
-    while i < len(chars):
-        pair = _BACK.get(chars[i : i + 2])
-        out.append(pair or chars[i])
-        i += 2 if pair else 1
-    return "".join(out)
+    return text if text.isascii() else _ANY_PAIR.sub(lambda m: _BACK[m[0]], _decomposed(text))
 
 
 @F.pandas_udf(T.StringType())

@@ -58,10 +58,14 @@ def unique_chars(*tables: DataFrame) -> DataFrame:
     return merged_charset(out, "text")
 
 
-def content_hash(entries: DataFrame, table: str) -> DataFrame:
-    """FNV-1a over id (four little-endian bytes) and text of each table's entries, in order of id."""
-    le = F.unhex(F.lpad(F.concat(*[F.lpad(F.hex(F.shiftright("id", s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)]), 8, "0"))
-    rows = entries.select(table, F.struct("id", F.concat(le, F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("bytes")).alias("e"))
+def content_hash(entries: DataFrame, table: str, locale: int | None = None) -> DataFrame:
+    """FNV-1a over id (four little-endian bytes) and text of each table's entries, in order of id.
+
+    With a locale, of a table of its overrides: two little-endian bytes of the locale come first.
+    """
+    le = F.concat(*[F.lpad(F.hex(F.shiftright("id", s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)])
+    rows = entries.select(table, F.struct("id", F.concat(le, F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("hex")).alias("e"))
     whole = rows.groupBy(table).agg(F.array_sort(F.collect_list("e")).alias("all"))
-    joined = F.aggregate("all", F.lit(b""), lambda a, e: F.concat(a, e["bytes"]))
+    first = "" if locale is None else locale.to_bytes(2, "little").hex()
+    joined = F.unhex(F.concat(F.lit(first), F.array_join(F.transform("all", lambda e: e["hex"]), "")))
     return whole.select(table, fnv1a(joined).alias("content_hash"))

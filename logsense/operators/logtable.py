@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsense.functions.extract import extract
+from logsense.functions.extract import extract, restore
 from logsense.functions.patterns import COLUMNS
-from logsense.functions.typed import EPSILON, RENDERED, VALUES, literal
+from logsense.functions.typed import EPSILON, RENDERED, STORED, VALUES, literal
 
 OPERATORS = ("=", "!=", "<", "<=", ">", ">=", "~", "^", "$")
 #: Lines whose ordinals are counted in one task.
@@ -29,12 +29,24 @@ def resolve(name: str) -> str:
     return COLUMNS[name]
 
 
+def of_kind(tokens: Column, *names: str) -> Column:
+    """The tokens of some columns."""
+    kinds = [resolve(n) for n in names]
+    return F.filter(tokens, lambda t: t["ptype"].isin(kinds))
+
+
+def _zipped(name: str) -> Column:
+    """Tokens of a stored column."""
+    pairs = F.arrays_zip(F.col(f"{name}_at").alias("at"), F.col(name).alias("text"))
+    return F.transform(pairs, lambda z: F.struct(z["at"].alias("tok_no"), F.lit(resolve(name)).alias("ptype"), z["text"].alias("text")))
+
+
 def render(name: str, text: Column) -> Column:
     """A token as a result shows it."""
     return RENDERED.get(name, lambda t: t)(text)
 
 
-def predicate(name: str, op: str, value: str, text: Column) -> Column:
+def predicate(name: str, op: str, value: str, x: Column) -> Column:
     """Comparison of a column's typed value with a literal; ~ contains, ^ starts with, $ ends with."""
     if op not in OPERATORS:
         raise ValueError(f"unknown operator: {op}")
@@ -42,14 +54,27 @@ def predicate(name: str, op: str, value: str, text: Column) -> Column:
     if op in "~^$":
         if name in VALUES:
             return F.lit(False)
-        return {"~": text.contains, "^": text.startswith, "$": text.endswith}[op](value)
-    x, y = VALUES.get(name, lambda t: t)(text), F.lit(literal(name, value))
+        return {"~": x.contains, "^": x.startswith, "$": x.endswith}[op](value)
+    y = F.lit(literal(name, value)).cast(STORED[name])
     if name == "numbers" and op in ("=", "!="):
         same = F.abs(x - y) < F.lit(EPSILON)
         return same if op == "=" else ~same
     return {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
 
+def possible(name: str, op: str, value: str) -> Column:
+    """What the least and greatest value of a stored line must satisfy if any of its values compares as asked: for the scan."""
+    lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+    if op in "~$!=" and op != "=" or op == "^" and name in VALUES:
+        return lo.isNotNull()
+    if op == "^":
+        return (hi >= value) & lo.isNotNull()
+    y = literal(name, value)
+    low, high = (y - 1, y + 1) if name == "numbers" and op == "=" else (y, y)
+    low, high = F.lit(low).cast(STORED[name]), F.lit(high).cast(STORED[name])
+    return {"=": (lo <= high) & (hi >= low), "<": lo < high, "<=": lo <= high, ">": hi > low, ">=": hi >= low}[op]
+
+
 def parse_filter(text: str) -> tuple[str, str, str]:
     """Column, operator and literal of "col OP value": the earliest operator splits, the longer one first."""
     at = min((k for k in range(len(text)) if text[k] in "=<>~^$" or text[k : k + 2] == "!="), default=-1)
@@ -60,23 +85,40 @@ def parse_filter(text: str) -> tuple[str, str, str]:
 
 
 class LogTable:
-    """Tokens of lines (file, line_no, text)."""
+    """Tokens of lines (file, line_no, text); of a stored table, only the columns that a query names are read."""
 
     def __init__(self, lines: DataFrame):
-        self.lines = extract(lines.select("file", "line_no", "text"))
+        self.lines, self.stored = extract(lines.select("file", "line_no", "text"), wanted=("tokens",)), False
 
     @classmethod
-    def of_tokens(cls, lines_with_tokens: DataFrame) -> LogTable:
-        """A table over stored lines that have their token arrays already."""
+    def of_columns(cls, lines: DataFrame) -> LogTable:
+        """A table over stored lines, which have an array of texts, of places and of values for each column."""
         out = cls.__new__(cls)
-        out.lines = lines_with_tokens
+        out.lines, out.stored = lines, True
         return out
 
+    def _texts(self, name: str) -> Column:
+        own = of_kind(F.col("tokens"), name)
+        return F.col(name) if self.stored else F.transform(own, lambda t: t["text"])
+
+    def _values(self, name: str) -> Column:
+        if name not in VALUES:
+            return self._texts(name)
+        return F.col(f"{name}_v") if self.stored else F.transform(self._texts(name), VALUES[name])
+
+    def _tokens(self, names: tuple[str, ...]) -> Column:
+        if self.stored:
+            return F.array_sort(F.concat(*[_zipped(n) for n in names or COLUMNS]))
+        return of_kind(F.col("tokens"), *names) if names else F.col("tokens")
+
     def tokens(self, *names: str) -> DataFrame:
         """Long form: file, line_no, tok_no, ptype, text; of the columns named, or all."""
-        kinds = [resolve(n) for n in names]
-        own = F.filter("tokens", lambda t: t["ptype"].isin(kinds)) if names else F.col("tokens")
-        return self.lines.select("file", "line_no", F.explode(own).alias("t")).select("file", "line_no", "t.tok_no", "t.ptype", "t.text")
+        x = self.lines.select("file", "line_no", F.explode_outer(self._tokens(names)).alias("t")).where("t is not null")
+        return x.select("file", "line_no", "t.tok_no", "t.ptype", "t.text")
+
+    def texts(self) -> DataFrame:
+        """file, line_no and text of the stored lines, byte for byte."""
+        return self.lines.select("file", "line_no", restore(F.col("literals"), self._tokens(())).alias("text"))
 
     def ordinals(self, *names: str) -> DataFrame:
         """tokens() with `ord`, each token's place among those of its type in the file, from 0."""
@@ -88,7 +130,7 @@ class LogTable:
         return t.join(base, ["file", "ptype", "chunk"]).select("file", "ptype", "line_no", "tok_no", "text", (F.col("base") + F.col("k") - 1).alias("ord"))
 
     def _first(self, name: str) -> Column:
-        return F.get(F.filter("tokens", lambda t: t["ptype"] == resolve(name)), F.lit(0))["text"]
+        return F.get(self._texts(name), F.lit(0))
 
     def select_column(self, name: str) -> DataFrame:
         """All values of one column, in file order by ord."""
@@ -103,7 +145,8 @@ class LogTable:
 
     def filter(self, name: str, op: str, value: str) -> DataFrame:
         """Ordinals of the values of a column that compare as asked."""
-        return self.ordinals(name).where(predicate(name, op, value, F.col("text"))).select("file", "ord")
+        value_of = VALUES.get(name, lambda t: t)
+        return self.ordinals(name).where(predicate(name, op, value, value_of(F.col("text")))).select("file", "ord")
 
     def filter_by(self, name: str, test: Callable[[Column], Column]) -> DataFrame:
         """Ordinals of the values that an arbitrary predicate (a column expression or a UDF) accepts."""
@@ -112,8 +155,11 @@ class LogTable:
     def query(self, names: list[str], name: str, op: str, value: str, mode: str = "line") -> DataFrame:
         """Columns of the rows whose value of one column compares as asked."""
         if mode == "line":
-            hit = F.exists("tokens", lambda t: (t["ptype"] == resolve(name)) & predicate(name, op, value, t["text"]))
-            return LogTable.of_tokens(self.lines.where(hit)).select_columns(*names)
+            hit = F.exists(self._values(name), lambda x: predicate(name, op, value, x))
+            lines = self.lines.where(possible(name, op, value)) if self.stored else self.lines
+            out = LogTable.of_columns(lines.where(hit))
+            out.stored = self.stored
+            return out.select_columns(*names)
         return self.filter(name, op, value).join(self.select_columns(*names, mode="positional"), ["file", "ord"], "left")
 
     def select_at(self, name: str, places: list[int]) -> DataFrame:
@@ -123,9 +169,22 @@ class LogTable:
         return self.select_column(name).join(F.broadcast(at), "ord").select("file", "pos", "ord", name)
 
     def stats(self) -> DataFrame:
-        """Values of each column."""
-        names = F.create_map(*[F.lit(x) for n, t in COLUMNS.items() for x in (t, n)])
-        return self.tokens().groupBy(names[F.col("ptype")].alias("column")).agg(F.count(F.lit(1)).alias("row_count"))
+        """Values of each column that has any: column, row_count."""
+        n = self.lines.agg(*[F.coalesce(F.sum(F.size(F.col(f"{c}_at") if self.stored else self._texts(c))), F.lit(0)).alias(c) for c in COLUMNS])
+        return n.unpivot([], list(COLUMNS), "column", "row_count").where("row_count > 0")
+
+    def columns(self) -> list[str]:
+        """Names of the columns that have values."""
+        found = {r["column"] for r in self.stats().collect()}
+        return [c for c in COLUMNS if c in found]
+
+    def has_column(self, name: str) -> bool:
+        return name in self.columns()
+
+
+def column_values(rows: DataFrame, name: str) -> DataFrame:
+    """The values of one column of a result, without missing ones."""
+    return rows.where(F.col(name).isNotNull()).select(name)
 
 
 class QueryBuilder:

@@ -10,7 +10,7 @@ from logsense.functions.patterns import FUSED_PLAIN, LEVELS, PATTERNS
 from logsense.functions.typed import timestamp_ms
 from logsense.operators.logtable import LogTable, QueryBuilder
 from logsense.operators.ordered import deltas, running_sum
-from logsense.session import table
+from logsense.session import spread, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,7 +21,7 @@ def logs(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     ip = F.concat(F.lit(" from 192.168."), F.expr("user_id div 256 % 256").cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
     ip = F.when(F.col("event_id") % 7 == 0, F.lit("")).otherwise(ip) if gaps else ip
     text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" User "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"), ip, F.lit(" value="), F.col("value").cast("string"))
-    return table(spark, sf_dir, "events").select(F.lit("events").alias("file"), F.col("event_id").alias("line_no"), text.alias("text"))
+    return spread(table(spark, sf_dir, "events")).select(F.lit("events").alias("file"), F.col("event_id").alias("line_no"), text.alias("text"))
 
 
 def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda a, n: F.substring(h, a, n)
     uuid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
     v6 = F.concat_ws(":", *[part(k, 4) for k in range(1, 33, 4)])
-    return table(spark, sf_dir, "orders").select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("line_no"), F.concat(F.lit("id "), uuid, F.lit(" at "), v6, F.lit(" code 0x"), part(1, 6)).alias("text"))
+    return spread(table(spark, sf_dir, "orders")).select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("line_no"), F.concat(F.lit("id "), uuid, F.lit(" at "), v6, F.lit(" code 0x"), part(1, 6)).alias("text"))
 
 
 def _quoted(pattern: str) -> str:
@@ -88,7 +88,7 @@ add(
 
 
 def skeleton_templates(s, d):
-    x = extract(logs(s, d, gaps=True)).select(skeleton(F.col("literals")).alias("template"))
+    x = extract(logs(s, d, gaps=True), wanted=("literals",)).select(skeleton(F.col("literals")).alias("template"))
     return x.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -146,7 +146,8 @@ add(
 def line_filter(name: str, column: str, op: str, value: str, kind: str, test: str, select=("timestamps", "ipv4"), lines=None, sql=None) -> None:
     """A query by line and its SQL: lines with a token of a kind that passes the test."""
     kinds = {"timestamps": "TIMESTAMP", "ipv4": "IPV4", "log_levels": "LOGLEVEL", "numbers": "NUMBER", "uuids": "UUID", "ipv6": "IPV6", "paths": "PATH", "urls": "URL", "emails": "EMAIL", "hex_values": "HEX"}
-    cells = ", ".join(f"{first_sql(kinds[c])} AS {c}" for c in select)
+    shown = lambda c: rf"regexp_replace({first_sql(kinds[c])}, '(^|:)0{{1,3}}([0-9a-f])', '\1\2', 'g')" if c == "ipv6" else first_sql(kinds[c])
+    cells = ", ".join(f"{shown(c)} AS {c}" for c in select)
     add(
         name,
         lambda s, d: LogTable((lines or logs)(s, d)).query(list(select), column, op, value).drop("file"),
@@ -161,7 +162,8 @@ line_filter("filter_level_lt", "log_levels", "<", "INFO", "LOGLEVEL", f"({_LEVEL
 line_filter("filter_ts_range", "timestamps", ">=", "2024-01-20", "TIMESTAMP", "text::TIMESTAMP >= TIMESTAMP '2024-01-20'")
 line_filter("filter_ts_le", "timestamps", "<=", "2024-01-03 12:00:00", "TIMESTAMP", "text::TIMESTAMP <= TIMESTAMP '2024-01-03 12:00:00'")
 line_filter("filter_ipv4_eq", "ipv4", "=", "192.168.0.77", "IPV4", f"{_IPV4} = 3232235597")
-line_filter("filter_ipv4_range", "ipv4", ">", "192.168.0.200", "IPV4", f"{_IPV4} > 3232235720")
+line_filter("filter_ipv4_range", "ipv4", ">", "192.168.0.20", "IPV4", f"{_IPV4} > 3232235540")
+line_filter("filter_ipv4_above_all", "ipv4", ">", "192.168.255.254", "IPV4", f"{_IPV4} > 3232301054")
 line_filter("filter_number_gt", "numbers", ">", "95.5", "NUMBER", "text::DOUBLE > 95.5")
 line_filter("filter_number_eq_eps", "numbers", "=", "42", "NUMBER", "abs(text::DOUBLE - 42) < 2.220446049250313e-16")
 line_filter("filter_string_on_typed", "ipv4", "~", "192", "IPV4", "false")

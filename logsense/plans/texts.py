@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logsense.functions import misc, textstats, unicode_norm
-from logsense.functions.extract import priority_tokens, token_rows
+from logsense.functions import misc, textstats, typed, unicode_norm
+from logsense.functions.extract import priority_tokens, replace_patterns, restore_patterns, token_rows
 from logsense.operators import dialogue, ordered
 from logsense.plans.logs import tokens_sql
-from logsense.session import shared_path, table
+from logsense.session import shared_path, spread
+from logsense.session import table as one_table
 from logsense.sources import store
 
 QUERIES, ORACLES = {}, {}
 
 
+def table(spark, sf_dir: str, name: str):
+    """A table over all cores: what is done with its texts costs more than moving them."""
+    return spread(one_table(spark, sf_dir, name))
+
+
 def add(name: str, query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql:
@@ -117,7 +123,70 @@ add(
     lambda s, d: dialogue.contiguous(entries(s, d), "conv_id"),
     "SELECT conv_id, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS contiguous FROM conversations GROUP BY conv_id",
 )
-add("content_hash", lambda s, d: dialogue.content_hash(entries(s, d), "conv_id"))
+_GROUPS = "[" + ", ".join(f"CASE WHEN doc_id % {k + 2} = 0 THEN '0' ELSE lower(printf('%x', doc_id % 97)) END" for k in range(8)) + "]"
+_SHORTEST = f"""WITH g AS (SELECT doc_id, {_GROUPS} AS g FROM documents),
+runs AS (SELECT doc_id, g, list_filter(flatten(list_transform(range(1, 9), lambda a: list_transform(range(2, 10 - a), lambda n: [n, a]))), lambda r: len(list_filter(g[r[2] : r[2] + r[1] - 1], lambda v: v <> '0')) = 0) AS z FROM g),
+best AS (SELECT doc_id, g, list_reverse_sort(list_transform(z, lambda r: [r[1], -r[2]]))[1] AS r FROM runs)
+SELECT doc_id, CASE WHEN r IS NULL THEN array_to_string(g, ':') ELSE array_to_string(g[1 : -r[2] - 1], ':') || '::' || array_to_string(g[-r[2] + r[1] : 8], ':') END AS address FROM best"""
+_HASH = "list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)), lambda a, b: ((xor(a, b)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)"
+_SIGNED = "(CASE WHEN v >= 9223372036854775808 THEN v::HUGEINT - 18446744073709551616 ELSE v::HUGEINT END)::BIGINT"
+_LE = "printf('%02x%02x%02x%02x', id & 255, (id >> 8) & 255, (id >> 16) & 255, (id >> 24) & 255)"
+_WHOLE = "SELECT conv_id, {first} || string_agg(" + _LE + " || lower(hex(encode(coalesce(text, '')))), '' ORDER BY id) AS h FROM e GROUP BY conv_id"
+add(
+    "content_hash",
+    lambda s, d: dialogue.content_hash(entries(s, d), "conv_id"),
+    f"WITH e AS (SELECT conv_id, turn AS id, text FROM conversations), w AS ({_WHOLE.format(first="''")}), r AS (SELECT conv_id, {_HASH} AS v FROM w) SELECT conv_id, {_SIGNED} AS content_hash FROM r",
+)
+add(
+    "content_hash_delta",
+    lambda s, d: dialogue.content_hash(overrides(s, d).where("id < 999"), "conv_id", locale=1),
+    f"WITH e AS (SELECT conv_id, turn AS id, '[en] ' || text AS text FROM conversations WHERE (conv_id + turn) % 3 = 0), w AS ({_WHOLE.format(first="'0100'")}), r AS (SELECT conv_id, {_HASH} AS v FROM w) SELECT conv_id, {_SIGNED} AS content_hash FROM r",
+)
+
+
+def writes(s, d):
+    """Overrides in the order in which they were made: a later turn writes over an entry again."""
+    return entries(s, d).select(F.lit(1).alias("locale"), "conv_id", (F.col("id") % 3).alias("id"), "speaker", "text", F.col("id").alias("seq"))
+
+
+add(
+    "last_writes",
+    lambda s, d: dialogue.last_writes(writes(s, d), ["locale", "conv_id", "id"], "seq").select("conv_id", "id", "speaker", "text"),
+    "SELECT conv_id, turn % 3 AS id, arg_max(role, turn) AS speaker, arg_max(text, turn) AS text FROM conversations GROUP BY ALL",
+)
+add("dialogue_roundtrip", lambda s, d: _stored_dialogue(s, d), "SELECT conv_id, turn AS id, '[en] ' || text AS text FROM conversations WHERE (conv_id + turn) % 3 = 0 UNION ALL SELECT conv_id, 999, 'only here' FROM conversations WHERE turn = 0")
+
+
+def _stored_dialogue(s, d):
+    path = shared_path(s)
+    store.save_dialogue(overrides(s, d), path)
+    return store.load_dialogue(s, path, 1).select("conv_id", "id", "text")
+
+
+add(
+    "text_lengths",
+    lambda s, d: table(s, d, "documents").select("doc_id", misc.text_len(F.col("text")).cast("long").alias("n_bytes"), textstats.word_count(F.col("text")).alias("words"), misc.charset_contains(misc.charset(F.col("text")), "é").alias("has_e_acute")),
+    f"SELECT doc_id, strlen(text)::BIGINT AS n_bytes, len(regexp_extract_all(text, '[^{textstats.WHITE_SPACE}]+'))::BIGINT AS words, contains(text, 'é') AS has_e_acute FROM documents",
+)
+add(
+    "patterns_roundtrip",
+    lambda s, d: _patterns_roundtrip(s, d),
+    "SELECT (SELECT count(*) FROM documents) AS n, 0::BIGINT AS mismatches",
+)
+
+
+def _patterns_roundtrip(s, d):
+    x = table(s, d, "documents").select("text", replace_patterns(F.col("text")).alias("r"))
+    x = x.select((F.col("text") == restore_patterns(F.col("r.text"), F.col("r.matches"))).alias("same"))
+    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("same")).alias("mismatches"))
+
+
+add(
+    "ipv6_shortest",
+    lambda s, d: table(s, d, "documents").select("doc_id", typed.ipv6_text(typed.ipv6(F.concat_ws(":", *[F.hex(F.when(F.col("doc_id") % (k + 2) == 0, F.lit(0)).otherwise(F.col("doc_id") % 97)) for k in range(8)]))).alias("address")),
+    _SHORTEST,
+)
+add("compression_stats", lambda s, d: textstats.compression_stats(table(s, d, "benchmark"), "item_id").select("item_id", "original_size", "token_count", (F.col("compression_ratio") + F.col("space_savings")).alias("one")), f"SELECT item_id, strlen(text)::BIGINT AS original_size, len(regexp_extract_all(text, '[^{textstats.WHITE_SPACE}]+'))::BIGINT AS token_count, 1.0::DOUBLE AS one FROM benchmark")
 
 
 def cumulative_freq(s, d):
@@ -175,4 +244,4 @@ def codec_roundtrip(s, d):
 
 
 add("codec_roundtrip", codec_roundtrip, "SELECT item_id, true AS same FROM benchmark")
-add("fnv_hash", lambda s, d: table(s, d, "benchmark").select("item_id", misc.fnv1a(F.encode("text", "UTF-8")).alias("hash")))
+add("fnv_hash", lambda s, d: table(s, d, "benchmark").select("item_id", misc.fnv1a(F.encode("text", "UTF-8")).alias("hash")), f"WITH w AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark), r AS (SELECT item_id, {_HASH} AS v FROM w) SELECT item_id, {_SIGNED} AS hash FROM r")

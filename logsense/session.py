@@ -33,8 +33,8 @@ def ship(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df through the shared checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir; a local one is set only where the session names
-    none, as in tests.
+    The folder is the session's spark.checkpoint.dir; where it names none, a local session takes a
+    temporary one, as in tests, and a cluster is an error.
     """
     _shared_dir(df.sparkSession)
     return df.checkpoint()
@@ -43,7 +43,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def _shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -55,3 +58,9 @@ def shared_path(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test-data layout: one Parquet file or folder per table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a scan of few files would leave some idle: for work that costs more than moving the rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

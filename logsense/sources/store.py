@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsense.functions.extract import extract, restore
+from logsense.functions.extract import extract, once
 from logsense.functions.misc import ZSTD_LEVELS
-from logsense.operators.logtable import LogTable
+from logsense.functions.patterns import COLUMNS
+from logsense.functions.typed import STORED, VALUES
+from logsense.operators.logtable import LogTable, of_kind
+
+#: Splits up to which their table is broadcast.
+MANY = 100_000
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -26,22 +31,68 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def _numbered(x: DataFrame) -> DataFrame:
     sizes = x.groupBy("file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__k").alias("__first"))
     base = F.sum("__n").over(Window.partitionBy("file").orderBy("__start")) - F.col("__n")
-    return x.join(sizes.withColumn("__base", base), ["file", "__start"]).select("file", (F.col("__base") + F.col("__k") - F.col("__first")).alias("line_no"), "text")
+    sizes = sizes.withColumn("__base", base)
+    few = sizes.limit(MANY + 1).count() <= MANY if not x.isStreaming else False  # a row for each split of each file
+    return x.join(F.broadcast(sizes) if few else sizes, ["file", "__start"]).select("file", (F.col("__base") + F.col("__k") - F.col("__first")).alias("line_no"), "text")
+
+
+def columnar(lines: DataFrame) -> DataFrame:
+    """Lines as they are stored: literals, and for each column its texts, places in the line, typed values, and the least and greatest value."""
+    x = extract(lines.select("file", "line_no", "text"))
+    out = [F.col("file"), F.col("line_no"), F.octet_length("text").alias("n_bytes"), F.col("literals")]
+    x = once(x.select(*out, "tokens"), **{name: of_kind(F.col("tokens"), name) for name in COLUMNS})
+    for name in COLUMNS:
+        texts = F.transform(name, lambda t: t["text"])
+        values = (F.transform(texts, VALUES[name]) if name in VALUES else texts).cast(f"array<{STORED[name]}>")
+        out += [texts.alias(name), F.transform(name, lambda t: t["tok_no"]).alias(f"{name}_at"), F.array_min(values).alias(f"{name}_lo"), F.array_max(values).alias(f"{name}_hi")]
+        out += [values.alias(f"{name}_v")] if name in VALUES else []
+    return x.select(*[F.col(c) for c in ("file", "line_no", "n_bytes", "literals")], *out[4:])
 
 
 def write(lines: DataFrame, path: str, level: str = "balanced") -> None:
-    """Store lines with their literals and tokens; a level names the Zstandard level of the column chunks."""
-    extract(lines.select("file", "line_no", "text")).drop("text").write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", ZSTD_LEVELS[level]).parquet(path)
+    """Store lines by column; a level names the Zstandard level of the column chunks."""
+    columnar(lines).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", ZSTD_LEVELS[level]).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> LogTable:
-    """The table stored at a path; only the columns a query needs are read."""
-    return LogTable.of_tokens(spark.read.parquet(path))
+    """The table stored at a path; only the columns a query needs are read, and filters reach the scan."""
+    return LogTable.of_columns(spark.read.parquet(path))
 
 
 def restored(table: LogTable) -> DataFrame:
     """The stored lines again, byte for byte."""
-    return table.lines.select("file", "line_no", restore(F.col("literals"), F.col("tokens")).alias("text"))
+    return table.texts()
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """original_size, compressed_size, compression_ratio, row_count and column_count of a stored table."""
+    x = spark.read.parquet(path)
+    files = x.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")).groupBy("f").agg(F.max("n").alias("n"))
+    total = x.agg(F.coalesce(F.sum(F.col("n_bytes") + 1), F.lit(0)).alias("original_size"), F.count(F.lit(1)).alias("row_count"))
+    kept = files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compressed_size"))
+    ratio = F.when(F.col("original_size") > 0, F.col("compressed_size") / F.col("original_size")).otherwise(F.lit(0.0))
+    n = LogTable.of_columns(x).stats().agg(F.count(F.lit(1)).alias("column_count"))
+    return total.crossJoin(kept).crossJoin(n).select("original_size", "compressed_size", ratio.alias("compression_ratio"), "row_count", "column_count")  # one row each
+
+
+def save_patterns(learned: DataFrame, path: str) -> None:
+    """Pattern statistics as lines of JSON."""
+    learned.select("ptype", "count", "examples").write.mode("overwrite").json(path)
+
+
+def load_patterns(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ptype string, count long, examples array<string>").json(path)
+
+
+def save_dialogue(entries: DataFrame, path: str) -> None:
+    """Dialogue entries with their `locale`, a folder for each."""
+    entries.write.mode("overwrite").partitionBy("locale").parquet(path)
+
+
+def load_dialogue(spark: SparkSession, path: str, locale: int | None = None) -> DataFrame:
+    """Stored entries, of one locale if asked: only its folder is read."""
+    x = spark.read.parquet(path)
+    return x if locale is None else x.where(F.col("locale") == locale)
 
 
 def to_csv(df: DataFrame, path: str) -> None:

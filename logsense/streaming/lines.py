@@ -16,12 +16,12 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_tokens(lines: DataFrame) -> DataFrame:
     """ptype and text of each token of a stream of lines."""
-    return extract(lines.select("text")).select(F.explode("tokens").alias("t")).select("t.ptype", "t.text")
+    return extract(lines.select("text"), wanted=("tokens",)).select(F.explode("tokens").alias("t")).select("t.ptype", "t.text")
 
 
 def level_counts(lines: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Log levels by event-time window, by the first timestamp and level of each line; late lines are dropped."""
-    x = extract(lines.select("text"))
+    x = extract(lines.select("text"), wanted=("tokens",))
     first = lambda kind: F.get(F.filter("tokens", lambda t: t["ptype"] == kind), F.lit(0))["text"]
     x = x.select(F.timestamp_millis(timestamp_ms(first("TIMESTAMP"))).alias("at"), first("LOGLEVEL").alias("level")).where("at is not null and level is not null")
     return x.withWatermark("at", late).groupBy(F.window("at", window), "level").agg(F.count(F.lit(1)).alias("n"))

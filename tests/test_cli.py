@@ -13,6 +13,8 @@ def test_commands(spark, tmp_path):
     assert "5.6.7.8" in out and "1.2.3.4" not in out and out.endswith("(1 rows)")
     assert '"ipv4":"5.6.7.8"' in run(spark, ["query", table, "--select", "ipv4", "-w", "log_levels=ERROR", "--format", "json"])
     assert "5.6.7.8" in run(spark, ["query", table, "--select", "ipv4", "--format", "csv"])
+    assert run(spark, ["query", table, "--columns"]).splitlines() == ["timestamps", "ipv4", "log_levels"]
+    assert "compression_ratio" in run(spark, ["query", table, "--stats"])
     run(spark, ["restore", table, str(tmp_path / "text")])
     assert [r.value for r in spark.read.text(str(tmp_path / "text")).collect()] == (tmp_path / "a.log").read_text().splitlines()
     assert "quality" in run(spark, ["estimate", log])

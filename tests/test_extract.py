@@ -75,6 +75,23 @@ def test_typed(spark):
     assert one(typed.date_days, "1970-01-02") == 1 and one(typed.date_days, "1969-12-31") is None
 
 
+def test_rendered(spark):
+    one = lambda f, t: frame(spark, [t]).select(f(F.col("text")).alias("v")).first().v
+    v6 = {"2001:0db8:0000:0000:0001:0000:0000:0001": "2001:db8::1:0:0:1", "0:0:0:0:0:0:0:0": "::", "0:0:0:0:0:0:0:1": "::1", "fe80:0:0:0:0:0:0:0": "fe80::", "1:0:2:0:3:0:4:0": "1:0:2:0:3:0:4:0", "0:0:0:0:0:ffff:0102:0304": "::ffff:1.2.3.4", "1:2:3:4:5:6:7:8": "1:2:3:4:5:6:7:8"}
+    assert {t: one(lambda c: typed.ipv6_text(typed.ipv6(c)), t) for t in v6} == v6
+    times = {"10:30:45": "10:30:45", "10:30:45.5": "10:30:45.500", "00:00:00.0004": "00:00:00"}
+    assert {t: one(lambda c: typed.time_text(typed.time_ms(c)), t) for t in times} == times
+    stamps = {"2024-01-15 10:30:45.123": "2024-01-15 10:30:45", "2024-01-15T10:30:45": "2024-01-15T10:30:45", "2024-01-15T10:30:45-0130": "2024-01-15T10:30:45-01:30", "2024-01-15T10:30:45Z": "2024-01-15T10:30:45Z"}
+    assert {t: one(typed.timestamp_text, t) for t in stamps} == stamps
+    assert one(lambda c: typed.date_text(typed.date_days(c)), "2024-02-29") == "2024-02-29"
+
+
+def test_extracted_once(spark):
+    for df in (LogTable(lines(spark)).query(["ipv4"], "log_levels", "=", "ERROR"), LogTable(lines(spark)).tokens("ipv4")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") == 1
+
+
 def lines(spark):
     text = ["A: INFO", "B: ERROR 10.0.0.1", "2024-01-01 00:00:00 WARNING 10.0.0.2 and 10.0.0.3"]
     return spark.createDataFrame([("f", k, t) for k, t in enumerate(text)], "file string, line_no long, text string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logsense.functions import misc, textstats, unicode_norm
 from logsense.operators import dialogue
+from logsense.operators.logtable import column_values
 from logsense.plans import registry
 from logsense.sources import store
 from logsense.streaming.lines import level_counts, stream_lines, stream_tokens
@@ -25,6 +26,15 @@ def test_store(spark, tmp_path):
         t = store.read(spark, str(tmp_path / level))
         assert [r.text for r in store.restored(t).orderBy("line_no").collect()] == [r.text for r in got.orderBy("line_no").collect()]
         assert t.query(["ipv4"], "log_levels", "<", "ERROR").first().ipv4 == "1.2.3.4"
+    assert t.columns() == ["timestamps", "ipv4", "log_levels"] and t.has_column("ipv4") and not t.has_column("urls")
+    assert [r.ipv4 for r in column_values(t.select_columns("ipv4"), "ipv4").collect()] == ["1.2.3.4"]
+    size = store.sizes(spark, str(tmp_path / "best")).first()
+    assert size.row_count == 4 and size.column_count == 3 and size.original_size == sum(len(r.text.encode()) + 1 for r in got.collect())
+    plan = t.query(["timestamps"], "ipv4", "=", "1.2.3.4")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "LessThanOrEqual(ipv4_lo,16909060)" in plan and "urls" not in plan
+    learned = textstats.learn(got.withColumn("k", F.col("line_no")), ["k"])
+    store.save_patterns(learned, str(tmp_path / "patterns"))
+    assert sorted(store.load_patterns(spark, str(tmp_path / "patterns")).collect()) == sorted(learned.select("ptype", "count", "examples").collect())
     store.to_csv(t.select_columns("ipv4"), str(tmp_path / "csv"))
     store.to_json(t.select_columns("ipv4"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 4 and spark.read.csv(str(tmp_path / "csv"), header=True).count() == 4
