@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsense.functions.patterns import BY_PRIORITY, FUSED, TYPES
+from logsense.functions.patterns import BY_PRIORITY, FUSED_FAST, TYPES
 
 _MARK, _SLOT, _ESC = "\u0001", "\u0002", "\u0010"
 _ESCAPES = [(_ESC, _ESC + "\u0013"), (_MARK, _ESC + "\u0011"), (_SLOT, _ESC + "\u0012")]
@@ -28,7 +28,7 @@ def _plain(text: Column) -> Column:
 def pieces(text: Column) -> Column:
     """The text cut at its tokens: literals at even places, tokens (a slot for each type) at odd ones."""
     slots = _MARK + _SLOT.join(f"${k + 1}" for k in range(len(TYPES))) + _MARK
-    return F.split(F.regexp_replace(_escaped(F.coalesce(text, F.lit(""))), FUSED, slots), _MARK)
+    return F.split(F.regexp_replace(_escaped(F.coalesce(text, F.lit(""))), FUSED_FAST, slots), _MARK)
 
 
 def tokens(cut: Column) -> Column:

@@ -20,6 +20,11 @@ PATTERNS = [
 TYPES = [name for name, _ in PATTERNS]
 #: One pattern with a group for each type.
 FUSED = "|".join(f"({p})" for _, p in PATTERNS)
+#: Types that are tried only where a run of their first characters begins, or where the last match ended: inside
+#: the run they could only match what they match from its start. Saves a second look at every word.
+_RUNS = {"EMAIL": r"(?:\G|(?<![a-zA-Z0-9._%+-]))", "HEX": "(?=0x)", "URL": "(?=http)", "PATH": "(?=/)", "LOGLEVEL": "(?=[DIWEFTC])"}
+#: FUSED for Java's regular expressions.
+FUSED_FAST = "|".join(f"({_RUNS.get(name, '')}{p})" for name, p in PATTERNS)
 #: The same without groups, for engines that extract whole matches.
 FUSED_PLAIN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logsense.functions.extract import extract, restore
+from logsense.functions.extract import extract, once, restore
 from logsense.functions.patterns import COLUMNS
 from logsense.functions.typed import EPSILON, RENDERED, STORED, VALUES, literal
 
@@ -108,7 +108,7 @@ class LogTable:
 
     def _tokens(self, names: tuple[str, ...]) -> Column:
         if self.stored:
-            return F.array_sort(F.concat(*[_zipped(n) for n in names or COLUMNS]))
+            return F.sort_array(F.concat(*[_zipped(n) for n in names or COLUMNS]))
         return of_kind(F.col("tokens"), *names) if names else F.col("tokens")
 
     def tokens(self, *names: str) -> DataFrame:
@@ -118,7 +118,8 @@ class LogTable:
 
     def texts(self) -> DataFrame:
         """file, line_no and text of the stored lines, byte for byte."""
-        return self.lines.select("file", "line_no", restore(F.col("literals"), self._tokens(())).alias("text"))
+        x = once(self.lines, __tokens=self._tokens(()))
+        return x.select("file", "line_no", restore(F.col("literals"), F.col("__tokens")).alias("text"))
 
     def ordinals(self, *names: str) -> DataFrame:
         """tokens() with `ord`, each token's place among those of its type in the file, from 0."""
@@ -139,7 +140,8 @@ class LogTable:
     def select_columns(self, *names: str, mode: str = "line") -> DataFrame:
         """Rows of several columns; a value that is missing is null."""
         if mode == "line":
-            return self.lines.select("file", "line_no", *[render(n, self._first(n)).alias(n) for n in names])
+            x = once(self.lines, **{f"__{n}": self._first(n) for n in names})
+            return x.select("file", "line_no", *[render(n, F.col(f"__{n}")).alias(n) for n in names])
         cells = [F.max(F.when(F.col("ptype") == resolve(n), render(n, F.col("text")))).alias(n) for n in names]
         return self.ordinals(*names).groupBy("file", "ord").agg(*cells)
 

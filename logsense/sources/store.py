@@ -41,12 +41,16 @@ def columnar(lines: DataFrame) -> DataFrame:
     x = extract(lines.select("file", "line_no", "text"))
     out = [F.col("file"), F.col("line_no"), F.octet_length("text").alias("n_bytes"), F.col("literals")]
     x = once(x.select(*out, "tokens"), **{name: of_kind(F.col("tokens"), name) for name in COLUMNS})
+    values = {}
     for name in COLUMNS:
         texts = F.transform(name, lambda t: t["text"])
-        values = (F.transform(texts, VALUES[name]) if name in VALUES else texts).cast(f"array<{STORED[name]}>")
-        out += [texts.alias(name), F.transform(name, lambda t: t["tok_no"]).alias(f"{name}_at"), F.array_min(values).alias(f"{name}_lo"), F.array_max(values).alias(f"{name}_hi")]
-        out += [values.alias(f"{name}_v")] if name in VALUES else []
-    return x.select(*[F.col(c) for c in ("file", "line_no", "n_bytes", "literals")], *out[4:])
+        values[f"{name}_v"] = (F.transform(texts, VALUES[name]) if name in VALUES else texts).cast(f"array<{STORED[name]}>")
+    x, out = once(x, **values), ["file", "line_no", "n_bytes", "literals"]
+    for name in COLUMNS:
+        v = F.col(f"{name}_v")
+        out += [F.transform(name, lambda t: t["text"]).alias(name), F.transform(name, lambda t: t["tok_no"]).alias(f"{name}_at"), F.array_min(v).alias(f"{name}_lo"), F.array_max(v).alias(f"{name}_hi")]
+        out += [v] if name in VALUES else []
+    return x.select(*out)
 
 
 def write(lines: DataFrame, path: str, level: str = "balanced") -> None:
