@@ -305,11 +305,25 @@ def with_templates(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYT
 def main_text(pages: DataFrame, **how) -> DataFrame:
     """page_id, url, text of every page."""
     ship(pages.sparkSession)
-    x = with_templates(pages, checkpoint(site_templates(pages, **how))).select("page_id", "url", "html", "templates")
+    known = checkpoint(site_templates(pages, **how))
+    size = known.agg(F.sum(F.octet_length("host") + 8 * F.size("templates"))).first()[0] or 0
+    small = size <= BROADCAST_BYTES
+    found = pages.sparkSession.sparkContext.broadcast({r.host: np.sort(np.array(r.templates, np.int64)) for r in known.collect()} if small else {})
+    x = with_host(pages).withColumn("templates", F.lit(None).cast("array<bigint>")) if small else with_templates(pages, known, 0)
+    x = x.select("page_id", "url", "html", "host", "templates")
+
+    def own_templates(page: Page, host: str, templates: list[int] | None) -> set[int]:
+        all_ = found.value.get(host)
+        if all_ is None:
+            return set(templates or ())
+        return {h for h in page.hashes.values() if (k := int(np.searchsorted(all_, h))) < len(all_) and all_[k] == h}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(html).text(set(t or ())) for html, t in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True)]
+            texts = []
+            for host, html, templates in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "templates")), strict=True):
+                page = Page(html)
+                texts.append(page.text(own_templates(page, host, templates)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
