@@ -10,6 +10,9 @@ set's size, the gram's position and a parity bitmap of the set. Lists are walked
 - answer level: inside a group of candidates, the overlaps of a set are derived from those of a similar set
   whose overlaps are known, by looking up only the grams in which both differ.
 
+A gram in the prefixes of more sets than one list may hold has no list: it is a node of the candidate graph,
+linked by each batch with its sets, so no task ever holds all of them. That only adds candidates.
+
 Candidate links are kept as stars, never as all pairs; their components are found with large and small
 stars in Spark. A component's sets are compared exactly in groups of bounded size. A larger component is
 compared with its first set, whole; what doesn't link goes, as a query set in blocks, against all of it.
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 
 from logsense.llm.arrays import binaries, tidy, tidy_group
 from logsense.llm.batches import NO_ID, ROW_BITS, Batch, bucket_count, expand, looked_up, pack, quoted, squeeze, unpack
-from logsense.llm.substrings import _MULT, NO_BOUND, _repeated_anchors, by_bucket, mix, no_rest, range_hashes
+from logsense.llm.substrings import _MULT, NO_BOUND, by_bucket, mix, no_rest, range_hashes
 from logsense.session import checkpoint
 
 #: Frequent grams that the order knows, at most; the order needs no more to be right.
@@ -43,6 +46,10 @@ OFTEN = 4
 LEAST_LEVEL = 9
 #: Grams of all sets compared in one group.
 GROUP = 1 << 20
+#: Sets at most in one gram's index list; a gram of more is a node of the candidate graph instead.
+HOT = 1 << 14
+#: Nodes from here on are grams; rows are less.
+HOT_NODE = 1 << 62
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -115,9 +122,8 @@ class Prefixes:
         self.keys = (h % np.uint64(buckets)) << np.uint64(32) | (h >> np.uint64(32))
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys, each gram's place among them, and which are in more than one set."""
-        keys, place, n = np.unique(self.keys, return_inverse=True, return_counts=True)
-        return keys, place, n > 1
+        """Sorted distinct keys, each gram's place among them, and in how many sets each is."""
+        return np.unique(self.keys, return_inverse=True, return_counts=True)
 
 
 def levels(n: np.ndarray) -> np.ndarray:
@@ -354,6 +360,30 @@ def _per_batch(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.groupBy(F.shiftright("row", ROW_BITS).alias("batch")).agg(F.array_sort(F.collect_list(at)).alias("chosen"))
 
 
+def _repeated_grams(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """Bits of each batch's keys in two sets or more of all batches, then bits of those in more than `hot`."""
+    parts = [np.frombuffer(x, "<u4") for x in pdf["keys"]]
+    counts = np.concatenate([np.frombuffer(x, "<u2") for x in pdf["counts"]])
+    _, place = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(place, counts)[place]
+    cut = np.cumsum([0, *map(len, parts)])
+    reply = [b"".join(np.packbits(total[a:b] > least).tobytes() for least in (1, hot)) for a, b in zip(cut, cut[1:], strict=False)]
+    return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "reply": reply})
+
+
+def _hot_links(flags: np.ndarray, p: Prefixes, first_row: int, batch: int, wide: int) -> list[tuple]:
+    """A row without sets, whose body is the links of a batch's sets with the nodes that stand for their hot grams."""
+    at = np.flatnonzero(flags)
+    if not len(at):
+        return []
+    nodes, place = np.unique(np.concatenate([first_row + p.doc[at], HOT_NODE + p.keys[at].astype(np.int64)]), return_inverse=True)
+    found = Union(len(nodes))
+    for x, y in zip(place[: len(at)].tolist(), place[len(at) :].tolist(), strict=True):
+        found.join(x, y)
+    links = _star(nodes, found.roots()).to_numpy("<i8")
+    return [(batch % wide, len(links), 0, links.nbytes, squeeze(links))]
+
+
 def _postings(flags: np.ndarray, p: Prefixes, first_row: int, wide: int) -> list[tuple]:
     """One row for each wide bucket: its repeated grams with place and set, and the sets' rows, sizes and bitmaps."""
     at = np.flatnonzero(flags)
@@ -470,7 +500,7 @@ def _verified(small: DataFrame, big: DataFrame, total: int, rule: Rule, group: i
     return links.unionByName(pairs.mapInPandas(tidy(blocks_against), "u long, v long"))
 
 
-def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int = GROUP) -> DataFrame:
+def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """row, doc_id, n, root (a row of the same component, the same for all its rows) of every row."""
     rule = Rule(words, num, den)
     spark = batches.sparkSession
@@ -492,28 +522,42 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
         return Prefixes(b, rule, np.array([x["k"] for x in r["chosen"] or []], np.int64), frequent.value, buckets)
 
     def keys(r: dict, b: Batch) -> list[tuple]:
-        k, _, several = prefixes(r, b).distinct()
-        return [(r["batch"], x, k[i:j].astype("<u4").tobytes(), np.packbits(several[i:j]).tobytes()) for x, i, j in by_bucket((k >> np.uint64(32)).astype(np.int64))]
+        k, _, count = prefixes(r, b).distinct()
+        count = np.minimum(count, np.iinfo(np.uint16).max).astype("<u2")
+        return [(r["batch"], x, k[i:j].astype("<u4").tobytes(), count[i:j].tobytes()) for x, i, j in by_bucket((k >> np.uint64(32)).astype(np.int64))]
 
     chosen = batches.join(of_classes, "batch")
-    repeated = _each(chosen, keys, "batch long, bucket int, keys binary, several binary").groupBy("bucket").applyInPandas(tidy_group(_repeated_anchors), "batch long, bucket int, reply binary")
+    repeated = _each(chosen, keys, "batch long, bucket int, keys binary, counts binary").groupBy("bucket")
+    repeated = repeated.applyInPandas(tidy_group(lambda pdf: _repeated_grams(pdf, hot)), "batch long, bucket int, reply binary")
     repeated = repeated.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies"))
 
     def postings(r: dict, b: Batch) -> list[tuple]:
         p = prefixes(r, b)
         k, place, _ = p.distinct()
-        bits = [np.unpackbits(np.frombuffer(x["reply"], np.uint8), count=j - i) for x, (_, i, j) in zip(r["replies"], by_bucket((k >> np.uint64(32)).astype(np.int64)), strict=True)]
-        return _postings(np.concatenate(bits)[place] > 0, p, r["batch"] << ROW_BITS, wide) if bits else []
+        if not len(k):
+            return []
+        bits = []
+        for x, (_, i, j) in zip(r["replies"], by_bucket((k >> np.uint64(32)).astype(np.int64)), strict=True):
+            both = np.frombuffer(x["reply"], np.uint8).reshape(2, -1)
+            bits.append(np.unpackbits(both, axis=1, count=j - i))
+        listed, often_listed = np.concatenate(bits, axis=1)[:, place] > 0
+        first_row = r["batch"] << ROW_BITS
+        return _postings(listed & ~often_listed, p, first_row, wide) + _hot_links(often_listed, p, first_row, r["batch"], wide)
 
     lists = _each(batches.join(of_classes.join(repeated, "batch"), "batch"), postings, "wide int, n_grams long, n_sets long, n_body long, body binary")
 
     def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, doc, place, row, n, words_ = _read_postings(pdf)
-        rows, at = np.unique(row, return_index=True)
-        return _star(rows, candidate_links(key, np.searchsorted(rows, row[doc]), place, n[at], Maps(words_, n, at), rule))
+        ready = pdf["n_sets"] == 0
+        links = [expand(x, size, "<i8").reshape(-1, 2) for x, size in zip(pdf["body"][ready], pdf["n_body"][ready], strict=True)]
+        out = [pd.DataFrame(np.concatenate(links), columns=["u", "v"])] if links else []
+        if not ready.all():
+            key, doc, place, row, n, words_ = _read_postings(pdf[~ready])
+            rows, at = np.unique(row, return_index=True)
+            out.append(_star(rows, candidate_links(key, np.searchsorted(rows, row[doc]), place, n[at], Maps(words_, n, at), rule)))
+        return pd.concat(out)
 
     edges = lists.groupBy("wide").applyInPandas(tidy_group(candidates), "u long, v long")
-    found = components(edges)
+    found = components(edges).where(F.col("node") < HOT_NODE)
     members = checkpoint(found.select(F.col("node").alias("row"), F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("row"), F.col("root").alias("comp")).distinct()))
     weights = members.join(classes.select(F.col("first").alias("row"), "n"), "row").groupBy("comp").agg(F.sum("n").alias("weight"))
     members = checkpoint(members.join(weights, "comp"))
@@ -533,9 +577,9 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
     return looked_up(info, checkpoint(roots), ["n", "a", "c"], rows).select("row", "doc_id", "n", F.coalesce("root", "row").alias("root"))
 
 
-def link_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, group: int = GROUP) -> DataFrame:
+def link_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    x = checkpoint(similar_sets(pack(docs.select("doc_id", "text")), words, num, den, group))
+    x = checkpoint(similar_sets(pack(docs.select("doc_id", "text")), words, num, den, group, hot))
     least = checkpoint(x.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("weight")))
     return looked_up(x, least, ["root"], x.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 

@@ -61,12 +61,13 @@ def got(df):
     return sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, -1 if r.component_id is None else r.component_id) for r in df.collect())
 
 
-@pytest.mark.parametrize(("size", "group"), [(1 << 22, 1 << 20), (3000, 150)])
-def test_against_all_pairs(spark, monkeypatch, size, group):
+@pytest.mark.parametrize(("size", "group", "hot"), [(1 << 22, 1 << 20, similar_sets.HOT), (3000, 150, 3)])
+def test_against_all_pairs(spark, monkeypatch, size, group, hot):
+    """Also with lists too short for many grams, and groups of few grams."""
     monkeypatch.setattr(batches, "BATCH", size)
     rows = corpus(size)
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n long")
-    assert got(similar_sets.link_groups(docs, 4, 85, 100, group)) == brute(rows, 4, 85, 100)
+    assert got(similar_sets.link_groups(docs, 4, 85, 100, group, hot)) == brute(rows, 4, 85, 100)
 
 
 def test_one_of_each(spark):
