@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from logsense.llm.arrays import binaries, tidy, tidy_group
 from logsense.llm.batches import NO_ID, ROW_BITS, Batch, bucket_count, expand, looked_up, pack, quoted, squeeze, unpack
-from logsense.llm.substrings import _MULT, NO_BOUND, by_bucket, mix, no_rest, range_hashes
+from logsense.llm.substrings import _MULT, NO_BOUND, by_bucket, gathered, mix, no_rest, range_hashes
 from logsense.session import checkpoint
 
 #: Frequent grams that the order knows, at most; the order needs no more to be right.
@@ -390,11 +390,16 @@ def _postings(flags: np.ndarray, p: Prefixes, first_row: int, wide: int) -> list
     group = (p.keys[at] >> np.uint64(32)).astype(np.int64) % wide
     order = np.argsort(group, kind="stable")
     at, group = at[order], group[order]
+    every = np.unique(p.doc[at])
+    maps = bitmaps(p.grams, p.at, every).view(np.uint64)  # once a set, though it goes to several buckets
+    size = (1 << levels(p.n[every])) >> 6
+    stop = np.cumsum(size)
     out = []
     for k, i, j in by_bucket(group):
         own = at[i:j]
         docs, doc = np.unique(p.doc[own], return_inverse=True)
-        parts = [p.keys[own].astype("<u8"), doc.astype("<u4"), p.place[own].astype("<u4"), (first_row + docs).astype("<i8"), p.n[docs].astype("<i8"), bitmaps(p.grams, p.at, docs)]
+        m = np.searchsorted(every, docs)
+        parts = [p.keys[own].astype("<u8"), doc.astype("<u4"), p.place[own].astype("<u4"), (first_row + docs).astype("<i8"), p.n[docs].astype("<i8"), gathered(maps, stop[m] - size[m], stop[m])]
         raw = b"".join(x.tobytes() for x in parts)
         out.append((k, len(own), len(docs), len(raw), squeeze(raw)))
     return out
