@@ -93,7 +93,8 @@ def gram_sets(b: Batch, words: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(first + k, len(h) - 1)
         gram += np.where(k < length[first], mix(h[at] + _MULT[k]) * _MULT[k], np.uint64(0))
     gram, owner = mix(gram), doc[first]
-    order = np.lexsort((gram, owner))
+    order = np.argsort(gram)  # equal grams of one owner are alike
+    order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]  # a batch has no more rows
     gram, owner = gram[order], owner[order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
@@ -114,7 +115,7 @@ class Prefixes:
         if len(frequent[0]) and len(self.grams):
             k = np.minimum(np.searchsorted(frequent[0], self.grams), len(frequent[0]) - 1)
             weight = np.where(frequent[0][k] == self.grams, frequent[1][k], 0).astype(np.uint8)
-        order = np.lexsort((self.grams, weight, owner))
+        order = np.argsort(owner << 8 | weight, kind="stable")  # in order of owner and gram already
         place = np.arange(len(order)) - self.at[owner]  # owners are in order already
         used = (place < rule.prefix(self.n)[owner]) & keep[owner]
         self.doc, self.place, gram = owner[used], place[used], self.grams[order][used]
