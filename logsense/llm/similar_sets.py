@@ -192,13 +192,6 @@ class Union:
         x, y = self.find(x), self.find(y)
         self.up[max(x, y)] = min(x, y)
 
-    def roots_of(self, x: np.ndarray) -> np.ndarray:
-        """Roots of some numbers."""
-        up = self.up[x]
-        while (more := self.up[up]).tobytes() != up.tobytes():
-            up = more
-        return up
-
     def roots(self) -> np.ndarray:
         """Root of each number; all numbers point to theirs afterwards."""
         while True:
@@ -209,42 +202,45 @@ class Union:
 
 
 def candidate_links(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray, maps: Maps, rule: Rule) -> np.ndarray:
-    """Root of each set under the links that size, position and bitmap leave possible in the lists of a bucket."""
+    """Root of each set under the links that size, position and bitmap leave possible in the lists of a bucket.
+
+    All lists are walked at once: each entry with the one that follows it, then with the second one, and so on.
+    """
     order = np.lexsort((place, n[doc], keys))
     keys, doc, place = keys[order], doc[order], place[order]
-    size, found = n[doc], Union(len(n))
+    size, found, at = n[doc], Union(len(n)), np.arange(len(keys))
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else at
+    of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(keys))))
+
+    # Lists are in order of size, so the rest of one is skipped as a block: no longer set can link with an entry's
+    # set, which has no more in common with it than its grams from the entry's position on.
+    left = size - place
+    longest = np.minimum(size * rule.den // rule.num, (rule.num + rule.den) * left // rule.num - size)
+    reach = np.searchsorted(of << 32 | size, of << 32 | np.maximum(longest, 0), "right") - 1 - at
+    active = np.flatnonzero(reach > 0)
+    active = active[np.argsort(-reach[active], kind="stable")]
+    n_active = np.searchsorted(-reach[active], -np.arange(1, reach.max(initial=0) + 1), "right")
 
     def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether entries x and y may link."""
         a, b = size[x], size[y]
-        most = 1 + np.minimum(a - place[x], b - place[y]) - 1
-        unlike = maps.unlike(doc[x], doc[y])
-        most = np.minimum(np.minimum(most, np.minimum(a, b)), (a + b - unlike) // 2)
-        return rule.links(most, a, b)
-
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    length = np.diff(np.append(cut, len(keys)))
-    two = cut[length == 2]  # most lists: all at once
-    for i in two[possible(two, two + 1)] if len(two) else ():
-        found.join(doc[i], doc[i + 1])
-    for i, j in zip(cut[length > 2], (cut + length)[length > 2], strict=True):
-        own = found.roots_of(doc[i:j])
-        if (own == own[0]).all():
-            continue
-        for x in range(i, j - 1):
-            top = int(np.searchsorted(size[x:j], size[x] * rule.den // rule.num, "right")) + x  # sizes beyond can't link
-            rest = np.arange(x + 1, top)
-            rest = rest[own[rest - i] != own[x - i]]
-            if not len(rest):
-                continue
-            hit = rest[possible(np.full(len(rest), x), rest)]
-            if len(hit):
-                linked = np.unique(np.append(own[hit - i], own[x - i]))
-                for y in linked[1:]:
-                    found.join(int(linked[0]), int(y))
-                own[np.isin(own, linked)] = linked[0]  # of roots the least stays one
-                if (own == own[0]).all():
-                    break
+        most = np.minimum(np.minimum(left[x], left[y]), np.minimum(a, b))
+        may = np.flatnonzero(rule.links(most, a, b))
+        a, b = a[may], b[may]
+        unlike = maps.unlike(doc[x[may]], doc[y[may]])
+        out = np.zeros(len(x), bool)
+        out[may] = rule.links(np.minimum(most[may], (a + b - unlike) // 2), a, b)
+        return out
+
+    root = found.roots()[doc]
+    for step, count in enumerate(n_active.tolist(), 1):
+        x = active[:count]
+        x = x[root[x] != root[x + step]]
+        x = x[possible(x, x + step)]
+        if len(x):
+            for pair in np.unique(root[x] * len(n) + root[x + step]).tolist():
+                found.join(*divmod(pair, len(n)))
+            root = found.roots()[doc]
     return found.roots()
 
 
