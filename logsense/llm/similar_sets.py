@@ -71,6 +71,15 @@ class Rule:
         return self.den * both >= self.num * (n + m - both)
 
 
+def part_of(b: Batch, docs: np.ndarray) -> Batch:
+    """Only the chosen documents of a batch, in order."""
+    if len(docs) == len(b.ids):
+        return b
+    at = np.append(0, np.cumsum(b.at[docs + 1] - b.at[docs]))
+    data = [b.data[i:j] for i, j in zip(b.at[docs].tolist(), b.at[docs + 1].tolist(), strict=True)]
+    return Batch(b.batch, b.ids[docs], at, np.concatenate([b.data[:0], *data]), None)
+
+
 def gram_sets(b: Batch, words: int) -> tuple[np.ndarray, np.ndarray]:
     """All documents' sets one after another, each sorted, and where each begins."""
     data = _LOWER[b.data]
@@ -103,21 +112,20 @@ def gram_sets(b: Batch, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefixes:
-    """Prefix grams of the chosen documents of a batch, in order of document and position."""
+    """Prefix grams of the chosen documents of a batch, in order of document (its place among the chosen) and position."""
 
     def __init__(self, b: Batch, rule: Rule, chosen: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], buckets: int):
-        self.grams, self.at = gram_sets(b, rule.words)
+        self.chosen = chosen
+        self.grams, self.at = gram_sets(part_of(b, chosen), rule.words)
         self.n = np.diff(self.at)
-        keep = np.zeros(len(b.ids), bool)
-        keep[chosen] = True
-        owner = np.repeat(np.arange(len(b.ids)), self.n)
+        owner = np.repeat(np.arange(len(chosen)), self.n)
         weight = np.zeros(len(self.grams), np.uint8)
         if len(frequent[0]) and len(self.grams):
             k = np.minimum(np.searchsorted(frequent[0], self.grams), len(frequent[0]) - 1)
             weight = np.where(frequent[0][k] == self.grams, frequent[1][k], 0).astype(np.uint8)
         order = np.argsort(owner << 8 | weight, kind="stable")  # in order of owner and gram already
         place = np.arange(len(order)) - self.at[owner]  # owners are in order already
-        used = (place < rule.prefix(self.n)[owner]) & keep[owner]
+        used = place < rule.prefix(self.n)[owner]
         self.doc, self.place, gram = owner[used], place[used], self.grams[order][used]
         h = mix(gram + np.uint64(77))
         self.keys = (h % np.uint64(buckets)) << np.uint64(32) | (h >> np.uint64(32))
@@ -373,7 +381,7 @@ def _hot_links(flags: np.ndarray, p: Prefixes, first_row: int, batch: int, wide:
     at = np.flatnonzero(flags)
     if not len(at):
         return []
-    nodes, place = np.unique(np.concatenate([first_row + p.doc[at], HOT_NODE + p.keys[at].astype(np.int64)]), return_inverse=True)
+    nodes, place = np.unique(np.concatenate([first_row + p.chosen[p.doc[at]], HOT_NODE + p.keys[at].astype(np.int64)]), return_inverse=True)
     found = Union(len(nodes))
     for x, y in zip(place[: len(at)].tolist(), place[len(at) :].tolist(), strict=True):
         found.join(x, y)
@@ -396,7 +404,7 @@ def _postings(flags: np.ndarray, p: Prefixes, first_row: int, wide: int) -> list
         own = at[i:j]
         docs, doc = np.unique(p.doc[own], return_inverse=True)
         m = np.searchsorted(every, docs)
-        parts = [p.keys[own].astype("<u8"), doc.astype("<u4"), p.place[own].astype("<u4"), (first_row + docs).astype("<i8"), p.n[docs].astype("<i8"), gathered(maps, stop[m] - size[m], stop[m])]
+        parts = [p.keys[own].astype("<u8"), doc.astype("<u4"), p.place[own].astype("<u4"), (first_row + p.chosen[docs]).astype("<i8"), p.n[docs].astype("<i8"), gathered(maps, stop[m] - size[m], stop[m])]
         raw = b"".join(x.tobytes() for x in parts)
         out.append((k, len(own), len(docs), len(raw), squeeze(raw)))
     return out
@@ -566,8 +574,8 @@ def similar_sets(batches: DataFrame, words: int, num: int, den: int, group: int
     total = members.where("row = comp").agg(F.sum("weight")).first()[0] or 0
 
     def sets(r: dict, b: Batch) -> list[tuple]:
-        grams, at = gram_sets(b, rule.words)
-        return [(x["comp"], x["weight"], (r["batch"] << ROW_BITS) + x["k"], int(at[x["k"] + 1] - at[x["k"]]), grams[at[x["k"]] : at[x["k"] + 1]].astype("<u8").tobytes()) for x in r["chosen"]]
+        grams, at = gram_sets(part_of(b, np.array([x["k"] for x in r["chosen"]], np.int64)), rule.words)
+        return [(x["comp"], x["weight"], (r["batch"] << ROW_BITS) + x["k"], int(j - i), grams[i:j].astype("<u8").tobytes()) for x, i, j in zip(r["chosen"], at, at[1:], strict=False)]
 
     def sets_of(rows: DataFrame) -> DataFrame:
         return _each(batches.join(_per_batch(rows, "comp", "weight"), "batch"), sets, "comp long, weight long, row long, n long, grams binary")
