@@ -32,6 +32,8 @@ from logsense.session import ship
 CACHE = 200_000
 #: Bytes of text, or of ids, that one batch of results covers.
 OUT = 4 << 20
+#: Slices of a text cut at once, and tokens of a text decoded at once.
+BLOCK = 1 << 16
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
 # Symbols: classes of code points with what matters of their right neighbours.
 SYM_L, SYM_N, SYM_O, SYM_SHORT, SYM_LONG, SYM_BLANKS, SYM_LAST_SPACE, SYM_LAST_BLANK = range(8)
@@ -224,9 +226,13 @@ def encode_texts(data: np.ndarray, at: np.ndarray, get) -> list[bytes]:
     buffer = data.tobytes()
     starts = slice_starts(data, at)
     cut = np.searchsorted(starts, at).tolist()
-    ends = [*starts[1:].tolist(), len(buffer)]
-    slices = [buffer[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
-    return [b"".join(map(get, slices[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
+    edges = np.append(starts, len(buffer))
+
+    def ids(a: int, b: int) -> bytes:
+        own = edges[a : b + 1].tolist()
+        return b"".join([get(buffer[x:y]) for x, y in zip(own, own[1:], strict=False)])
+
+    return [b"".join([ids(k, min(k + BLOCK, b)) for k in range(a, b, BLOCK)]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def token_offsets(ids: list[bytes], lens: np.ndarray) -> list[bytes]:
@@ -278,9 +284,12 @@ def decode_ids(ids: bytes, offsets: bytes, n_bytes: int, path: str) -> bytes:
     n = lens[k]
     if (n.sum(), len(at)) != (n_bytes, len(k)):
         raise ValueError("ids, offsets and the text's length don't belong together")
-    within = np.arange(n_bytes) - np.repeat(np.cumsum(n) - n, n)
     out = np.zeros(n_bytes, np.uint8)
-    out[np.repeat(at, n) + within] = blob[np.repeat(first[k], n) + within]
+    for i in range(0, len(k), BLOCK):
+        own = slice(i, i + BLOCK)
+        upto = np.cumsum(n[own])
+        within = np.arange(upto[-1]) - np.repeat(upto - n[own], n[own])
+        out[np.repeat(at[own], n[own]) + within] = blob[np.repeat(first[k[own]], n[own]) + within]
     return out.tobytes()
 
 
